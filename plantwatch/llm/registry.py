@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from plantwatch.llm.packing import op5_best_fit
 from plantwatch.llm.pii import op2_pii
 from plantwatch.llm.quality import op8_compression_bands
 from plantwatch.llm.simhash import op9_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op8_compression_bands, op9_simhash)}
+    return {f.__name__: f for f in (op2_pii, op5_best_fit, op8_compression_bands, op9_simhash)}
 
 
 def oracle_sql() -> dict:
