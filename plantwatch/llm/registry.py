@@ -6,10 +6,11 @@ from plantwatch.llm.packing import op5_best_fit
 from plantwatch.llm.pii import op2_pii
 from plantwatch.llm.quality import op8_compression_bands
 from plantwatch.llm.simhash import op9_simhash
+from plantwatch.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op5_best_fit, op8_compression_bands, op9_simhash)}
+    return {f.__name__: f for f in (op2_pii, op5_best_fit, op6_toxicity, op8_compression_bands, op9_simhash)}
 
 
 def oracle_sql() -> dict:
