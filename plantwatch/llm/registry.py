@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plantwatch.llm.dedup_lines import op7_repeated_units
+from plantwatch.llm.html_text import op3_main_text
 from plantwatch.llm.packing import op5_best_fit
 from plantwatch.llm.pii import op2_pii
 from plantwatch.llm.quality import op8_compression_bands
@@ -11,7 +12,7 @@ from plantwatch.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op5_best_fit, op6_toxicity, op7_repeated_units, op8_compression_bands, op9_simhash)}
+    return {f.__name__: f for f in (op2_pii, op3_main_text, op5_best_fit, op6_toxicity, op7_repeated_units, op8_compression_bands, op9_simhash)}
 
 
 def oracle_sql() -> dict:
