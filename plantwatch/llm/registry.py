@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plantwatch.llm.decontaminate import op1_template_leaks
 from plantwatch.llm.dedup_lines import op7_repeated_units
 from plantwatch.llm.html_text import op3_main_text
 from plantwatch.llm.packing import op5_best_fit
@@ -14,7 +15,7 @@ from plantwatch.llm.warc import op4_warc_index
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_main_text, op4_warc_index, op5_best_fit, op6_toxicity, op7_repeated_units, op8_compression_bands, op9_simhash, op10_markov_secrets)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_pii, op3_main_text, op4_warc_index, op5_best_fit, op6_toxicity, op7_repeated_units, op8_compression_bands, op9_simhash, op10_markov_secrets)}
 
 
 def oracle_sql() -> dict:

@@ -35,6 +35,8 @@ RADIUS = 4
 SEED = 42
 #: Members of a bucket that one task compares; larger buckets are dealt out again.
 BUCKET = 20_000
+#: Dropped documents whose ids are few enough to be sent to every task; more are joined by a shuffle.
+SMALL_IDS = 200_000
 _BLOCK = 1 << 15
 
 
@@ -179,9 +181,14 @@ def clusters(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component; rows that share a doc_id stay or go together."""
-    kept = clusters(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component, the one with the smallest doc_id; rows that share a doc_id stay or go together.
+
+    A row without a doc_id can't be named and stays.
+    """
+    gone = cut(clusters(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    if gone.count() <= SMALL_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
