@@ -61,11 +61,11 @@ def base_sensor(name: Column | str) -> Column:
 
 def seconds(ts: Column | str) -> Column:
     """Seconds since the epoch of a time-zone free timestamp, with fractions."""
-    return F.timestampdiff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c(ts).cast("timestamp_ntz")) / 1e6
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c(ts).cast("timestamp_ntz")) / 1e6
 
 
 def seconds_between(a: Column | str, b: Column | str) -> Column:
-    return F.timestampdiff("MICROSECOND", c(a).cast("timestamp_ntz"), c(b).cast("timestamp_ntz")) / 1e6
+    return F.timestamp_diff("MICROSECOND", c(a).cast("timestamp_ntz"), c(b).cast("timestamp_ntz")) / 1e6
 
 
 def trunc(unit: str, ts: Column | str) -> Column:

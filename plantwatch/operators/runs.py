@@ -113,7 +113,7 @@ def coldstart(state: DataFrame, got: DataFrame, required: int = COLD_ROWS, tries
 
 def cold_window(history: DataFrame, required: int = COLD_ROWS, margin: float = 1.2) -> DataFrame:
     """A window from the first sample that should hold the rows required, by the median step."""
-    d = history.withColumn("d", F.timestampdiff("MICROSECOND", F.lag("ts").over(W.partitionBy("equip_id").orderBy("ts")), F.col("ts")) / 1e6)
+    d = history.withColumn("d", F.timestamp_diff("MICROSECOND", F.lag("ts").over(W.partitionBy("equip_id").orderBy("ts")), F.col("ts")) / 1e6)
     got = d.groupBy("equip_id").agg(F.min("ts").alias("window_start"), F.percentile("d", 0.5).alias("step_s"))
     return got.withColumn("minutes", F.ceil(F.col("step_s") * required * margin / 60).cast("long")).withColumn("window_end", F.col("window_start") + F.make_dt_interval(mins=F.col("minutes").cast("int")))
 

@@ -254,7 +254,7 @@ def stationarity(series: DataFrame, column: str, width: int = 50) -> DataFrame:
 def hotspots(context: DataFrame, warn: float = 1.5, alert: float = 3.0, top: int = 10) -> DataFrame:
     """Tags by peak |z| over (equip_id, tag, ts, value, z, train_mean, train_std); of equal peaks the earliest."""
     a = F.abs("z")
-    peak = F.max_by(F.struct("ts", "z", "value"), F.struct(a, -F.timestampdiff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))))
+    peak = F.max_by(F.struct("ts", "z", "value"), F.struct(a, -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))))
     last = F.max_by(F.struct("ts", "z", "value"), "ts")
     got = context.where("z is not null").groupBy(E, "tag").agg(peak.alias("p"), last.alias("l"), F.first("train_mean").alias("train_mean"), F.first("train_std").alias("train_std"), F.count_if(a >= warn).alias("above_warn"), F.count_if(a >= alert).alias("above_alert"))
     out = got.select(E, "tag", F.col("p.ts").alias("max_ts"), F.col("l.ts").alias("latest_ts"), F.abs("p.z").alias("max_abs_z"), F.col("p.z").alias("max_signed_z"), F.abs("l.z").alias("latest_abs_z"), F.col("p.value").alias("value_at_peak"), F.col("l.value").alias("latest_value"), "train_mean", "train_std", "above_warn", "above_alert").where(F.col("max_abs_z") >= warn)
@@ -324,7 +324,7 @@ def episode_contributions(scores: DataFrame, episodes: DataFrame, least_pct: flo
 
 def episode_diagnostics(scores: DataFrame, episodes: DataFrame) -> DataFrame:
     met = inside(scores.select(E, "ts", "fused"), episodes)
-    got = met.groupBy(E, "episode_id").agg(F.max("fused").alias("peak_z"), F.max_by("ts", F.struct("fused", -F.timestampdiff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")))).alias("peak_ts"), F.avg("fused").alias("avg_z"), F.min(health("fused")).alias("min_health"))
+    got = met.groupBy(E, "episode_id").agg(F.max("fused").alias("peak_z"), F.max_by("ts", F.struct("fused", -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")))).alias("peak_ts"), F.avg("fused").alias("avg_z"), F.min(health("fused")).alias("min_health"))
     out = episodes.join(got, [E, "episode_id"]).withColumn("duration_h", duration_hours())
     first = F.trim(F.substring_index(F.coalesce("culprits", F.lit("")), ",", 1))
     sensor = F.when(first == "", "Unknown").otherwise(F.trim(F.substring_index(first, "(", 1)))

@@ -80,5 +80,5 @@ def table_ranges(tables: dict[str, DataFrame], ts: str = "ts") -> DataFrame:
 def tick_minutes(history: DataFrame, rows_per_batch: int = 5000) -> DataFrame:
     """Minutes of a batch that holds about so many rows, within [1, 1440]."""
     got = history.groupBy("equip_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
-    minutes = F.timestampdiff("SECOND", F.col("t0"), F.col("t1")) / 60.0
+    minutes = F.timestamp_diff("SECOND", F.col("t0"), F.col("t1")) / 60.0
     return got.withColumn("tick_minutes", F.greatest(F.lit(1), F.least(F.lit(1440), F.ceil(minutes * rows_per_batch / F.col("n")))).cast("long"))
