@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantwatch.plans.frames import SQL
+from plantwatch.session import ship
 
 PLACES = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +28,11 @@ def query(name: str, sql: str | None = None, d: str = "", base: bool = True):
     """Register a query under a name; ``sql`` may use the frames of ``plans.frames``."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return rounded(f(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql:
             body = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {PLACES}) + 0.0 AS {c}' for c in d.split())}) FROM ({sql})" if d else sql
             ORACLES[name] = (SQL if base else "") + body

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,18 @@ def session(app: str = "plantwatch", **conf: str) -> SparkSession:
     if "SPARK_MASTER" in os.environ:
         builder = builder.master(os.environ["SPARK_MASTER"])
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once, unless their Python finds it anyway (installed, or on PYTHONPATH)."""
+    root = Path(__file__).resolve().parent.parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if "site-packages" in root.parts or str(root) in known or getattr(context, "_plantwatch_sent", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="plantwatch-")) / "plantwatch.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted((root / "plantwatch").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(target))  # the driver serves it, executors need no shared folder
+    context._plantwatch_sent = True
