@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plantwatch.llm import common, decontaminate, packing, pii, simhash, toxicity
+from plantwatch.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +41,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
+    ship(spark)
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = common.work_path(spark, f"stage-{name}")

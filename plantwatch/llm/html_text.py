@@ -91,7 +91,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 else:
                     del stack[inner]
                 was, out = out, any(b for _, b in stack)
-                yield f"</{name}>", "", was and out
+                yield f"</{name}>", "", was
             continue
         skipped = _boilerplate(name, m[3] or "")
         yield f"<{name}>" if not skipped else "<left out>", "", out
@@ -122,7 +122,7 @@ class Scores:
     words: dict[str, float] = field(default_factory=dict)
     tag: float = -1.0
     word: float = 0.5
-    left_out: float = -2.0
+    left_out: float = -0.5
 
     def of(self, symbol: str, text: str, out: bool) -> float:
         if out:

@@ -99,28 +99,34 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.
     """
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    share = hot.mean(axis=0)
-    table_ = np.empty((m, 2, 3))
-    for y in (0, 1):
-        lean = np.array([4.0, 1.0, 0.25] if y == 0 else [0.25, 1.0, 4.0])
-        table_[:, y] = share * lean + 1e-3
-    table_ /= table_.sum(axis=2, keepdims=True)
-    keep, corr = np.ones(m), np.eye(m)
-    q = np.full(n, prior)
+
+    def tables(q):
+        out = np.stack([np.einsum("n,nmv->mv", w, hot) + 0.1 for w in (1 - q, q)], axis=1)
+        return out / out.sum(axis=2, keepdims=True)
+
+    def shared(q, table_):
+        """What the label leaves unexplained, and the weight that a group of like voters shares."""
+        mean = q[:, None] * (table_[:, 1] @ [-1, 0, 1]) + (1 - q[:, None]) * (table_[:, 0] @ [-1, 0, 1])
+        rest = votes - mean
+        norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
+        corr = (rest.T @ rest) / np.outer(norm, norm)
+        np.fill_diagonal(corr, 1.0)
+        return corr, 1 / np.where(np.abs(corr) > 0.2, np.clip(corr, 0, None), 0).sum(axis=1)
+
+    # the first posterior is a plain count of votes, in which like voters already share their weight
+    _, keep = shared(np.full(n, prior), np.repeat((hot.mean(axis=0) + 1e-3)[:, None], 2, axis=1))
+    q = 1 / (1 + np.exp(-(2 * votes @ keep + math.log(prior / (1 - prior)))))
+    table_ = tables(q)
     for step in range(rounds):
-        score = np.einsum("nmv,mv->nm", hot, np.log(table_[:, 1]) - np.log(table_[:, 0])) @ keep + math.log(prior / (1 - prior))
+        if step % 5 == 0:
+            corr, keep = shared(q, table_)
+        odds = np.log(table_[:, 1]) - np.log(table_[:, 0])
+        odds[:, 0], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 2], 0)  # a voter is no worse than chance
+        score = np.einsum("nmv,mv->nm", hot, odds) @ keep + math.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
-        if step % 10 == 9:  # what the label leaves unexplained, and the weight that a group of like voters shares
-            mean = new[:, None] * (table_[:, 1] @ [-1, 0, 1]) + (1 - new[:, None]) * (table_[:, 0] @ [-1, 0, 1])
-            rest = votes - mean
-            norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-            corr = (rest.T @ rest) / np.outer(norm, norm)
-            keep = 1 / (1 + np.clip(np.where(np.abs(corr) > 0.2, corr, 0) - np.eye(m), 0, None).sum(axis=1))
         done = step > 20 and np.abs(new - q).max() < 1e-6
         q = new
-        for y, w in ((0, 1 - q), (1, q)):
-            table_[:, y] = np.einsum("n,nmv->mv", w, hot) + 0.1
-        table_ /= table_.sum(axis=2, keepdims=True)
+        table_ = tables(q)
         if done:
             break
     return q, table_, corr, keep
