@@ -35,9 +35,12 @@ SAMPLE = 6000
 FOLDS = 5
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (4, 5)
-#: A mined feature occurs in this share of the toxic rows at least, and in MIN_ROWS of them.
-MIN_SHARE, MIN_ROWS, MIN_Z = 0.008, 4, 3.0
+#: A mined feature occurs in so many toxic rows at least, and its likelihood-ratio statistic exceeds what the best of that many
+#: unrelated features would reach by MARGIN.
+MIN_ROWS, MARGIN = 4, 6.0
 FEATURES, VOTERS = 400, 24
+#: Accuracy taken for labels given by hand.
+TRUST = 0.98
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = (
@@ -91,11 +94,12 @@ class Model:
         return 1 / (1 + math.exp(-total)) if total > -700 else 0.0
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 100, said: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 from votes in {-1, 0, 1} (0 abstains).
 
     Returns the posterior, P(vote | label) as (voter, label, vote + 1), the
     voters' conditional correlations, and the weight that each voter keeps.
+    ``said`` are labels given by hand: one more voter, whose accuracy is TRUST.
     """
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
@@ -115,14 +119,15 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.
 
     # the first posterior is a plain count of votes, in which like voters already share their weight
     _, keep = shared(np.full(n, prior), np.repeat((hot.mean(axis=0) + 1e-3)[:, None], 2, axis=1))
-    q = 1 / (1 + np.exp(-(2 * votes @ keep + math.log(prior / (1 - prior)))))
+    base = math.log(prior / (1 - prior)) + (0.0 if said is None else (2 * said - 1) * math.log(TRUST / (1 - TRUST)))
+    q = 1 / (1 + np.exp(-(2 * votes @ keep + base)))
     table_ = tables(q)
     for step in range(rounds):
         if step % 5 == 0:
             corr, keep = shared(q, table_)
         odds = np.log(table_[:, 1]) - np.log(table_[:, 0])
         odds[:, 0], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 2], 0)  # a voter is no worse than chance
-        score = np.einsum("nmv,mv->nm", hot, odds) @ keep + math.log(prior / (1 - prior))
+        score = np.einsum("nmv,mv->nm", hot, odds) @ keep + base
         new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         done = step > 20 and np.abs(new - q).max() < 1e-6
         q = new
@@ -132,7 +137,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.
     return q, table_, corr, keep
 
 
-def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, steps: int = 25) -> np.ndarray:
     """Weights, bias last, of a ridge logistic regression on soft labels, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
     penalty = np.full(x.shape[1], ridge)
@@ -174,9 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     owner = np.repeat([t for t, _ in seen], [len(x) // 4 for x in seen.values()])
     pos = np.bincount(inverse[owner == 1], minlength=len(ids))
     neg = np.bincount(inverse[owner == 0], minlength=len(ids))
-    odds = np.log((pos + 0.5) / (totals[1] + 1)) - np.log((neg + 0.5) / (totals[0] + 1))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = np.flatnonzero((pos >= max(MIN_ROWS, MIN_SHARE * totals[1])) & (z >= MIN_Z) & (odds >= math.log(5)))
+    # G² of each feature against the label, for features that lean to it
+    share = totals[1] / sum(totals)
+    n = pos + neg
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = 2 * (np.where(pos, pos * np.log(pos / (n * share)), 0) + np.where(neg, neg * np.log(neg / (n * (1 - share))), 0))
+    tested = max(1, int((n >= MIN_ROWS).sum()))
+    good = np.flatnonzero((pos >= MIN_ROWS) & (pos >= 2 * neg) & (pos > n * share) & (z >= 2 * math.log(tested) + MARGIN))
     good = good[np.lexsort((ids[good], -z[good]))][:FEATURES]
     wanted = {int(i) for i in ids[good]}
     if not wanted:
@@ -191,25 +200,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     found = rows.select("text", "toxic").mapInArrow(named, "toxic int, signature long, hits array<string>, marks array<int>").collect()
     once = {(r.toxic, r.signature, tuple(sorted(r.hits))): (set(r.hits), list(r.marks)) for r in found}
-    examples = [once[k] for k in sorted(once)]
+    keys = sorted(once)
+    examples = [once[k] for k in keys]
     prior = totals[1] / sum(totals)
-    return _train(examples, prior, {f: float(z[np.searchsorted(ids, zlib.crc32(f.encode()))]) for h, _ in examples for f in h})
+    return _train(examples, np.array([k[0] for k in keys]), prior, {f: float(z[np.searchsorted(ids, zlib.crc32(f.encode()))]) for h, _ in examples for f in h})
 
 
-def _train(examples: list[tuple[set[str], list[int]]], prior: float, strength: dict[str, float]) -> Model:
+def _train(examples: list[tuple[set[str], list[int]]], said: np.ndarray, prior: float, strength: dict[str, float]) -> Model:
     names = sorted(strength, key=lambda f: (-strength[f], f))
     column = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(examples), len(names)))
     for i, (hits, _) in enumerate(examples):
         x[i, [column[f] for f in hits]] = 1
     marks = np.array([m for _, m in examples], float)
-    # lexicon voters: features dealt out by rank, each votes toxic or abstains; half as many again vote clean where a pair of lexicons has nothing
+    # lexicon voters: features dealt out by rank, each votes toxic or abstains; one voter says clean where no lexicon has anything
     k = min(VOTERS, len(names))
     lexicons = [x[:, i::k].any(axis=1) for i in range(k)]
     any_hit = x.any(axis=1)
     votes = [np.where(v, 1, 0) for v in lexicons] + [np.where(any_hit, 0, -1)] + [np.where(marks[:, j] > 0, 1, 0) for j in range(marks.shape[1])]
     titles = [f"lexicon {i}" for i in range(k)] + ["nothing found"] + [n for n, _ in _PATTERNS]
-    q, likely, corr, _ = label_model(np.column_stack(votes), prior)
+    q, likely, corr, _ = label_model(np.column_stack(votes), prior, said=said)
     w = logistic(np.column_stack([x, marks]), q)
     accuracy = {t: float(likely[i, 1, 2] * prior / max(1e-9, likely[i, 1, 2] * prior + likely[i, 0, 2] * (1 - prior))) if t != "nothing found" else float(likely[i, 0, 0] * (1 - prior) / max(1e-9, likely[i, 0, 0] * (1 - prior) + likely[i, 1, 0] * prior)) for i, t in enumerate(titles)}
     tied = [(titles[i], titles[j], round(float(corr[i, j]), 3)) for i in range(len(titles)) for j in range(i) if abs(corr[i, j]) > 0.2]
