@@ -99,13 +99,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """(doc_id, item_id, n_windows, covered, coverage, first_word): a row for each document and the item it holds."""
     items, windows = benchmark_tables(benchmark)
     sizes = items.agg(F.sum(F.length(F.concat_ws(" ", "raw")))).first()[0] or 0
-    if windows.count() <= SMALL and sizes <= SMALL_CHARS:
-        items, windows = F.broadcast(items), F.broadcast(windows)
+    small = windows.count() <= SMALL and sizes <= SMALL_CHARS
     said = docs.where("doc_id is not null and text is not null").select("doc_id", plain(F.col("text")).alias("said"))
     words = said.select("doc_id", "said", F.split(template(F.col("said")), " ").alias("words"))
-    dealt = words.select("doc_id", "said", "words", F.posexplode(_windows(F.col("words"), STRIDE)).alias("k", "hash"))
-    met = dealt.join(windows, "hash").withColumn("at", F.col("k") * STRIDE - F.col("place")).drop("hash", "k", "place")
-    met = met.join(items, "item_key")
+    place = F.col("k") * STRIDE - F.col("place")
+    if small:  # one pass: a row that meets nothing ends where it was dealt out, and the words of one that does are at hand
+        dealt = words.select("doc_id", "said", "words", F.posexplode(_windows(F.col("words"), STRIDE)).alias("k", "hash"))
+        met = dealt.join(F.broadcast(windows), "hash").withColumn("at", place).drop("hash", "k", "place").join(F.broadcast(items), "item_key")
+    else:  # only hashes are shuffled; what met fetches its document's words again
+        words = words.withColumn("text_key", F.xxhash64("said"))
+        dealt = words.select("doc_id", "text_key", F.posexplode(_windows(F.col("words"), STRIDE)).alias("k", "hash"))
+        places = dealt.join(windows.hint("merge"), "hash").select("doc_id", "text_key", "item_key", place.alias("at")).distinct()
+        met = places.join(words, ["doc_id", "text_key"]).join(items, "item_key")
     # the item may begin before the document does, or end after it
     skip = F.greatest(F.lit(0), -F.col("at"))
     along = lambda a: F.concat(F.array_repeat(F.lit(""), skip), F.slice(a, F.greatest(F.lit(0), F.col("at")) + 1, F.size("item") - skip))

@@ -1,0 +1,259 @@
+"""The text operators on hard cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from plantwatch.llm import decontaminate, dedup_lines, html_text, packing, pii, quality, secrets, simhash, toxicity, warc
+
+WORDS = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "green", "house", "light", "metal", "north", "ocean", "paper", "quiet", "round", "salt", "tower", "under", "voice", "water", "young", "zebra", "bread", "chair"]
+
+
+def prose(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + r.choice(["", "", "", "s", "ed", "ing"]) for _ in range(n))
+
+
+ROWS = [
+    (1, prose(1), "en", "s", 1, "x"), (2, prose(1), "en", "s", 1, "x"), (2, prose(1), "en", "s", 1, "x"), (3, None, None, None, None, None), (4, "", "", "", 0, ""), (5, "   \n\t ", "en", None, 3, "x"),
+    (6, prose(6, 30_000), "de", "s", 9, "x"), (None, prose(7), "en", "s", 1, "x"), (8, prose(1) + " one more", "en", "s", 1, "x"), (9, "mail a.b@c.de or +1 (269) 555-3296 token=abcdefgh1", "en", "s", 1, "x"), (10, "漢字 😀 " * 40, "zh", "s", 1, "x"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ids(df):
+    return sorted((r.doc_id for r in df.collect()), key=lambda x: (x is None, x))
+
+
+ALL = sorted((r[0] for r in ROWS), key=lambda x: (x is None, x))
+
+
+def test_pii(docs, none):
+    got = pii.scan_documents(docs)
+    assert ids(got) == ALL and pii.scan_documents(none).count() == 0
+    row = got.where("doc_id = 9").first()
+    assert (row.n_email, row.n_phone, row.spans) == (1, 1, "email:5:13,phone:17:34")
+    assert got.where("doc_id = 4").first().base_sha256 == hashlib.sha256(b"").hexdigest()
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and clean.where("doc_id = 9").first().text == "mail <email> or <phone> token=abcdefgh1"
+    assert clean.where("doc_id = 3").first().text is None
+
+
+def test_quality(docs, none):
+    got = quality.score_documents(docs)
+    assert ids(got) == ALL and quality.score_documents(none).count() == 0
+    kept = {r.doc_id: r.kept for r in got.collect()}
+    assert kept[1] and kept[2] and not kept[3] and not kept[4] and not kept[5]
+
+
+def test_simhash_against_all_pairs(spark, docs, none):
+    assert simhash.clusters(none).count() == 0
+    r = random.Random(5)
+    rows = [(i, t) for i, t, *_ in ROWS if i is not None] + [(100 + i, prose(200 + i // 4, 80 + i % 4)) for i in range(60)] + [(300 + i, " ".join([*prose(9, 200).split()[:190], *r.sample(WORDS, 3)])) for i in range(40)]
+    want_fp = {i: simhash.fingerprint(t) for i, t in rows}
+    group = {i: i for i in want_fp}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in group:
+        for b in group:
+            if (want_fp[a] ^ want_fp[b]).bit_count() <= 4:
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (simhash.BUCKET, 3):  # the second deals large buckets out again
+        got = {x.doc_id: (x.fp & (2**64 - 1), x.component_id) for x in simhash.clusters(df, bucket=bucket).collect()}
+        assert got == {i: (want_fp[i], root(i)) for i in group}
+    stays = simhash.keep_first(docs)
+    assert stays.columns == docs.columns
+    assert ids(stays) == [1, 3, 6, 8, 9, 10, None] or ids(stays) == [1, 3, 6, 9, 10, None]
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
+    group = {x: x for e in edges for x in e}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        group[y] = x
+    got = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got.get(n, n) == root(n) for n in group)
+
+
+def test_packing(docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    assert packing.pack_documents(none).count() == 0
+    for per_task in (packing.ITEMS, 3):  # the second goes through several rounds
+        got = packing.pack(packing.pieces(docs, path), per_task=per_task).toPandas()
+        assert (got.groupby("sequence_id").length.sum() <= 1024).all()
+        g = got.sort_values(["sequence_id", "offset"])
+        assert (g.offset == g.groupby("sequence_id").length.cumsum() - g.length).all()
+        for i, text, *_ in ROWS:
+            n = len(model.encode(text or "", add_special_tokens=False).ids) + 1
+            part = got[got.doc_id.isna() if i is None else got.doc_id == i]
+            assert part.length.sum() == n * sum(r[0] == i for r in ROWS)
+        assert got[got.doc_id == 6].length.sort_values().iloc[1] == 1024
+
+
+def test_toxicity(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()} == {toxicity.Model().score("")}
+    r = random.Random(2)
+    rows = [(i, prose(1000 + i, 40) + (" rotten " if i % 5 == 0 else " fine ") + prose(5000 + i, 10), "en", "s", 1, "x") for i in range(600)]
+    found = spark.createDataFrame([*rows, *ROWS], SCHEMA)
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(found, marks)
+    got = {x.doc_id: x for x in toxicity.score_documents(found, model).collect()}
+    held = [x for x in got.values() if x.held_out and x.doc_id < 600 and x.doc_id > 10]
+    assert len(held) > 50 and sum(x.predicted == (x.doc_id % 5 == 0) for x in held) > 0.97 * len(held)
+    assert toxicity.clean(found, marks).columns == found.columns and toxicity.score_documents(none, model).count() == 0
+
+
+def test_leaks(spark, docs, none):
+    bench = spark.createDataFrame([(1, "Tom has 12 apples and gives 5 apples to Anna. How many apples does Tom have left after 3 days and 12 km of walking?"), (2, "short one"), (3, None), (4, ""), (5, " ".join(prose(1).split()[10:30]))], "item_id long, text string")
+    texts = [
+        (20, "Here now. Tom has 17 apples and gives 8 apples to Anna. How many apples does Tom have left after 4 days and 17 km of walking? bye"),
+        (21, "Here now. Tom has 17 apples and gives 8 apples to Anna. How many apples does Tom have left after 4 days and 99 km of walking? bye"),
+        (22, "TOM HAS 12 apples, and gives 5 apples to Anna; how many apples does tom have left after 3 days and 12 km of walking"),
+        (23, "Tom has no apples to give"),
+    ]
+    more = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs.select("doc_id", "text").unionByName(more), bench).collect()}
+    assert got == {(20, 1), (1, 5), (2, 5), (8, 5)} | ({(22, 1)} & got)
+    empty = bench.where("false")
+    assert decontaminate.leaks(docs, empty).count() == 0 and decontaminate.leaks(none, bench).count() == 0
+    assert ids(decontaminate.clean(docs, bench)) == [3, 4, 5, 6, 9, 10, None] and decontaminate.clean(docs, empty).count() == len(ROWS)
+
+
+def test_joined_leaks_equal_broadcast_ones(docs, spark, monkeypatch):
+    bench = spark.createDataFrame([(5, " ".join(prose(1).split()[10:30])), (6, prose(6, 25))], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SMALL", 0)
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want and want
+
+
+def brute_secrets(text):
+    text = text or ""
+    a = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    out = [(m.start(), 0, m.end()) for m in a.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{x}:{y}" for x, k, y in sorted(out))
+
+
+def test_secrets(spark, docs, none):
+    r = random.Random(5)
+    parts = ["password", "Token", "api_key", '="', "': ", "=", ":", " ", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "\n", "😀", "abc", "xyz.", "AKIAAKIA", "secret"]
+    made = [(1000 + i, "".join(r.choice(parts) for _ in range(r.randint(0, 14)))) for i in range(800)]
+    rows = [*made, *[(i, t) for i, t, *_ in ROWS if i is not None], (5000, "key dQw4w9WgXcQ8aB3kLmN0pQ but getElementById2Something and 550e8400-e29b-41d4-a716-446655440000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = secrets.fit(docs)
+    text = dict(rows)
+    for x in secrets.scan_documents(df, table).collect():
+        base = ",".join(p for p in x.spans.split(",") if not p.startswith("random"))
+        assert base == brute_secrets(text[x.doc_id]), text[x.doc_id]
+        assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert secrets.scan_documents(df, table).where("doc_id = 5000").first().spans == "random:4:26"
+    assert secrets.scan_documents(none).count() == 0
+    assert len(secrets.fit(none)) == len(secrets.LETTERS) ** 2
+
+
+def test_repeats(docs, none):
+    got = dedup_lines.repeats(docs).collect()
+    assert dedup_lines.repeats(none).count() == 0
+    # the text of document 1 comes three times more, once in document 8 with words added
+    assert sorted((r.doc_id, r.start, r.first_doc_id) for r in got) == [(2, 0, 1), (2, 0, 1)]
+
+
+def test_repeats_of_a_row_repeated_whole(spark):
+    line = "one two three four five six seven eight nine"
+    df = spark.createDataFrame([(7, line), (7, line), (9, f"x\n{line}\n{line}"), (8, line.upper() + "!")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in dedup_lines.repeats(df).collect())
+    n = len(line)
+    assert got == [(7, 0, n, 7, 0), (8, 0, n + 1, 7, 0), (9, 2, 2 + n, 7, 0), (9, 3 + n, 3 + 2 * n, 7, 0)]
+
+
+def test_warc(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 2000)
+    rows = [(i, f"http://www.h{i % 3}.com/a?b={i // 7}" if i % 11 else None, None if i == 5 else "" if i == 6 else "short" if i in (7, 8) else "x\r\n\r\nWARC/1.1\r\né" * 20 if i % 4 == 0 else f"p{i} " * 50, "extra") for i in range(40)]
+    pages = spark.createDataFrame([*rows, (None, "u", "h", "e")], "page_id long, url string, html string, payload string")
+    for small in (warc.SMALL, 0):
+        monkeypatch.setattr(warc, "SMALL", small)
+        path = warc.work_path(spark, "t")
+        warc.write_archives(pages, path)
+        got = warc.merge_index(warc.capture_runs(spark, path), 7).collect()
+        want, first = {}, {}
+        for i, _, h, _ in rows:
+            b = (h or "").encode()
+            d = hashlib.sha256(b).hexdigest()
+            again = len(b) >= 100 and d in first
+            want[i] = (len(b), d, "revisit" if again else "response", first[d] if again else None)
+            first.setdefault(d, i)
+        assert {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got} == want
+        order = [(x.url_key, x.ts, x.page_id) for x in sorted(got, key=lambda x: (x.range, x.place))]
+        assert order == sorted(order) and all(x.verified for x in got) and len({x.archive for x in got}) > 1
+    path = warc.work_path(spark, "t")
+    warc.write_archives(pages.where("false"), path)
+    assert warc.merge_index(warc.capture_runs(spark, path)).count() == 0
+
+
+def test_pages(spark):
+    rows = [(i, f"u{i}", f"<nav><a>m</a></nav><div class='ad'>buy now</div><article><h1>Head {i}</h1><p>some words that make a text {i}</article><footer>f</footer>") for i in range(20)] + [(50, None, None), (51, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_pages(pages, html_text.fit(pages)).collect()}
+    assert got[3] == ("Head 3\n\nsome words that make a text 3", 37) and got[50] == got[51] == ("", 0)
+    none = pages.where("false")
+    assert html_text.extract_pages(none, html_text.fit(none)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    assert (got.groupby("sequence_id").length.sum() <= 1024).all() and got.doc_id.nunique() > 50
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert set(got.doc_id) <= set(ids(docs))
+    # brute force of the stages that decide by document
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    clean = [i for i in texts if model.score(texts[i]) < 0.5]
+    fp, keep = {i: simhash.fingerprint(texts[i]) for i in clean}, []
+    left = set(clean)
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            x = todo.pop()
+            near = {y for y in left if (fp[x] ^ fp[y]).bit_count() <= 4}
+            left -= near
+            group |= near
+            todo += near
+        keep.append(min(group))
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert set(got.doc_id) == {i for i in keep if not any(b in texts[i] for b in bench)}
