@@ -93,7 +93,7 @@ def maintenance_window(probabilities: DataFrame, start: float = 0.2, end: float
     """From the first step at which failure is likely enough to plan for, to the first at which it must be done."""
     first = lambda p: F.min(F.when(F.col("probability") >= p, F.col("h")))
     got = probabilities.groupBy(E).agg(first(start).alias("window_start"), first(end).alias("window_end"), F.max("probability").alias("max_probability"))
-    return got.withColumn("window_start", F.greatest(F.lit(0), F.col("window_start") - buffer_steps))
+    return got.withColumn("window_start", F.when(F.col("window_start").isNotNull(), F.greatest(F.lit(0), F.col("window_start") - buffer_steps)))
 
 
 def exponential(series: DataFrame, horizon: int, last: int = 50, rate: tuple[float, float] = (0.001, 0.1)) -> DataFrame:
