@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 # Zone edges and severity levels that results depend on.
 ALERT_BELOW, WATCH_BELOW = 70.0, 85.0
@@ -30,6 +31,16 @@ def clip(x: Column | str, low: float, high: float) -> Column:
     return F.when(c(x).isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c(x))))
 
 
+def correlation(a: Column | str, b: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson's r over the rows where both are known; null where either doesn't vary (the built-in raises an error there)."""
+    a, b = c(a).cast("double"), c(b).cast("double")
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    cov, sx, sy = [p.over(over) for p in parts] if over is not None else parts
+    r = F.when((sx > 1e-12) & (sy > 1e-12), F.try_divide(cov, sx * sy))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def health(z: Column | str) -> Column:
     """100 / (1 + z^2)."""
     return F.lit(100.0) / (F.lit(1.0) + c(z) * c(z))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plantwatch.functions.scalar import clip, norm_cdf_sql, seconds, seconds_between
+from plantwatch.functions.scalar import clip, correlation, norm_cdf_sql, seconds, seconds_between
 
 E = "equip_id"
 Z95 = 1.96
@@ -21,9 +21,9 @@ def suitability(series: DataFrame, keys: tuple[str, ...] = (E,)) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("ts")
     n = F.count("*").over(W.partitionBy(*keys))
     x = series.withColumns({"p": F.lag("y").over(w), "half": F.when(F.row_number().over(w) <= n / 2, 0).otherwise(1)})
-    got = x.groupBy(*keys).agg(F.count("y").alias("n"), F.avg(F.col("y").isNull().cast("int")).alias("missing"), F.corr("y", "p").alias("acf"), F.stddev_samp("y").alias("sd"), F.avg(F.when(F.col("half") == 0, F.col("y"))).alias("a"), F.avg(F.when(F.col("half") == 1, F.col("y"))).alias("b"))
-    trend = F.least(F.lit(1.0), F.abs(F.col("b") - F.col("a")) / F.when(F.col("sd") > 1e-9, F.col("sd")))
-    score = 2 * F.col("missing") + 1.5 * (1 - F.abs(F.coalesce(F.nanvl("acf", F.lit(0.0)), F.lit(0.0)))) + F.coalesce(trend, F.lit(0.0))
+    got = x.groupBy(*keys).agg(F.count("y").alias("n"), F.avg(F.col("y").isNull().cast("int")).alias("missing"), correlation("y", "p").alias("acf"), F.stddev_samp("y").alias("sd"), F.avg(F.when(F.col("half") == 0, F.col("y"))).alias("a"), F.avg(F.when(F.col("half") == 1, F.col("y"))).alias("b"))
+    trend = F.least(F.lit(1.0), F.coalesce(F.abs(F.col("b") - F.col("a")) / F.when(F.col("sd") > 1e-9, F.col("sd")), F.lit(0.0)))
+    score = 2 * F.col("missing") + 1.5 * (1 - F.abs(F.coalesce("acf", F.lit(0.0)))) + trend
     return got.select(*keys, "n", F.when(F.col("n") >= 20, score).otherwise(F.lit(float("inf"))).alias("score"))
 
 

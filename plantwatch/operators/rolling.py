@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
-from plantwatch.functions.scalar import c, robust_z
+from plantwatch.functions.scalar import c, correlation, robust_z
 
 
 def frame(width: int, by: tuple[str, ...] = ("equip_id",), ts: str = "ts") -> WindowSpec:
@@ -97,7 +97,7 @@ def _within(low: float, high: float, n: Column):
 
 
 def xcorr(a: Column | str, b: Column | str, w: WindowSpec) -> Column:
-    return F.corr(c(a), c(b)).over(w)
+    return correlation(a, b, w)
 
 
 def lag_pairs(df: DataFrame, columns: list[str], max_lag: int, width: int, by: tuple[str, ...] = ("equip_id",), ts: str = "ts", unique: bool = False) -> DataFrame:
@@ -105,7 +105,7 @@ def lag_pairs(df: DataFrame, columns: list[str], max_lag: int, width: int, by: t
     order = W.partitionBy(*by).orderBy(ts)
     pairs = [(a, b) for i, a in enumerate(columns) for j, b in enumerate(columns) if (i < j if unique else i != j)]
     lagged = df.withColumns({f"_{b}_{k}": F.lag(b, k).over(order) if k else F.col(b) for b in columns for k in range(max_lag + 1)})
-    out = {f"{a}_{b}_lag{k}": F.corr(F.col(a), F.col(f"_{b}_{k}")).over(frame(width, by, ts)) for a, b in pairs for k in range(max_lag + 1)}
+    out = {f"{a}_{b}_lag{k}": correlation(a, f"_{b}_{k}", frame(width, by, ts)) for a, b in pairs for k in range(max_lag + 1)}
     return lagged.select(*by, ts, *[v.alias(k) for k, v in out.items()])
 
 

@@ -181,7 +181,7 @@ def tune_weights(long: DataFrame, labels: DataFrame, current: dict[str, float],
     met = long.join(labels, [E, "ts"])
     order = W.partitionBy("detector").orderBy(F.desc("z"), E, "ts").rowsBetween(W.unboundedPreceding, 0)
     ranked = met.withColumns({"tp": F.sum("label").over(order), "rank": F.row_number().over(W.partitionBy("detector").orderBy(F.desc("z"), E, "ts"))})
-    ap = ranked.groupBy("detector").agg(F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("tp") / F.col("rank"))) / F.sum("label"), F.lit(0.0)).alias("average_precision"))
+    ap = ranked.groupBy("detector").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("label") == 1, F.col("tp") / F.col("rank"))), F.sum("label")), F.lit(0.0)).alias("average_precision"))
     every = W.partitionBy(F.lit(0))  # a row for each detector
     e = F.exp(F.col("average_precision") * temperature)
     was = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in current.items() for v in kv]), F.col("detector")), F.lit(0.0))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plantwatch.functions.scalar import SEVERITIES, Z_WARN, health, seconds_between, severity_of_share, status, trunc, zone
+from plantwatch.functions.scalar import SEVERITIES, Z_WARN, correlation, health, seconds_between, severity_of_share, status, trunc, zone
 from plantwatch.operators.islands import inside, islands
 
 E = "equip_id"
@@ -112,8 +112,8 @@ def detector_correlation(scores: DataFrame) -> DataFrame:
     names = detectors(scores)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     flat = lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0)) == 0
-    row = scores.groupBy(E).agg(*[F.when(flat(a) | flat(b), 0.0).otherwise(F.corr(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    items = F.array(*[F.struct(F.lit(a).alias("detector_a"), F.lit(b).alias("detector_b"), F.coalesce(F.nanvl(f"r{i}", F.lit(0.0)), F.lit(0.0)).alias("pearson_r")) for i, (a, b) in enumerate(pairs)])
+    row = scores.groupBy(E).agg(*[F.when(flat(a) | flat(b), 0.0).otherwise(correlation(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    items = F.array(*[F.struct(F.lit(a).alias("detector_a"), F.lit(b).alias("detector_b"), F.coalesce(F.col(f"r{i}"), F.lit(0.0)).alias("pearson_r")) for i, (a, b) in enumerate(pairs)])
     return row.select(E, F.inline(items))
 
 
@@ -318,7 +318,7 @@ def episode_contributions(scores: DataFrame, episodes: DataFrame, least_pct: flo
     met = inside(melt(scores), episodes.select(E, "episode_id", "start_ts", "end_ts"))
     got = met.groupBy(E, "episode_id", "detector").agg(F.avg(F.abs("z")).alias("mean_z"))
     each = W.partitionBy(E, "episode_id")
-    got = got.withColumn("contribution_pct", F.col("mean_z") / F.sum("mean_z").over(each) * 100).where(F.col("contribution_pct") >= least_pct)
+    got = got.withColumn("contribution_pct", F.try_divide(F.col("mean_z"), F.sum("mean_z").over(each)) * 100).where(F.col("contribution_pct") >= least_pct)
     return got.withColumn("rank", F.row_number().over(each.orderBy(F.desc("contribution_pct"), "detector")).cast("long"))
 
 

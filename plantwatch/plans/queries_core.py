@@ -262,7 +262,7 @@ _roll("w03_rolling_std", f"stddev_samp(click) OVER {_F}", lambda w: rolling.std(
 _roll("w04_rolling_skew", f"skewness(click) OVER {_F}", lambda w: rolling.skew("click", w))
 _roll("w04_rolling_kurt", f"kurtosis(click) OVER {_F}", lambda w: rolling.kurt("click", w))
 _roll("w05_rolling_slope", f"CASE WHEN count(*) OVER {_F} >= 2 THEN regr_slope(click, i) OVER {_F} ELSE 0.0 END", lambda w: rolling.slope("click", "i", w))
-_roll("w11_rolling_xcorr", f"CASE WHEN count(*) OVER {_F} >= 2 THEN corr(click, view) OVER {_F} END", lambda w: F.when(F.count("*").over(w) >= 2, rolling.xcorr("click", "view", w)))
+_roll("w11_rolling_xcorr", f"CASE WHEN count(*) OVER {_F} >= 2 THEN corr(click, view) OVER {_F} END", lambda w: rolling.xcorr("click", "view", w))
 _roll("w16_rolling_rz", f"CASE WHEN TRUE THEN greatest(-100.0, least(100.0, (click - median(click) OVER {_F}) / (greatest(mad(click) OVER {_F}, 1e-9) * 1.4826 + 1e-9))) END", lambda w: scalar.robust_z("click", rolling.median("click", w), rolling.mad("click", w)))
 
 

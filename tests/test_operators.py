@@ -415,3 +415,16 @@ def test_random_interval_join(spark):
     got = islands.inside(spark.createDataFrame(points, "equip_id int, ts timestamp_ntz"), spark.createDataFrame(spans, "equip_id int, episode_id int, start_ts timestamp_ntz, end_ts timestamp_ntz"))
     want = sorted((t, i) for _, t in points for _, i, a, b in spans if a <= t <= b)
     assert sorted((x.ts, x.episode_id) for x in got.collect()) == want
+
+
+def test_constant_series_have_no_correlation(spark):
+    df = series(spark, [1.0, 1.0, 1.0, 2.0], "a_z").withColumn("b_z", F.lit(0.0)).withColumn("c_z", F.col("a_z") * 2)
+    got = {(r.detector_a, r.detector_b): r.pearson_r for r in tables.detector_correlation(df).collect()}
+    assert got == {("a_z", "b_z"): 0.0, ("a_z", "c_z"): pytest.approx(1.0), ("b_z", "c_z"): 0.0}
+    rows = collected(rolling.lag_pairs(df, ["a_z", "b_z"], 1, 3), "a_z_b_z_lag0", "b_z_a_z_lag1")
+    assert rows == [(None, None)] * 4
+    still = series(spark, [5.0] * 30, "y")
+    assert forecasting.suitability(still).first().score == 1.5
+    zero = series(spark, [0.0] * 4).withColumn("a_z", F.lit(0.0))
+    spans = spark.createDataFrame([(0, 1, T0, T0 + timedelta(hours=1))], "equip_id int, episode_id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    assert tables.episode_contributions(zero, spans).count() == 0
