@@ -58,6 +58,20 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, spread by a hash of their key and the same ones each time.
+
+    A cut-off on the hash, from the number of rows, leaves about twice what is
+    wanted before anything is sorted, so the sort doesn't grow with the input.
+    """
+    total = df.count()
+    shares = 1 << 30
+    spread = F.pmod(F.xxhash64(key), F.lit(shares))
+    if total > 4 * most:
+        df = df.where(spread < max(1, shares * 2 * most // total))
+    return df.orderBy(spread, key, F.xxhash64(*df.columns)).limit(most)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, rows: int = 256) -> DataFrame:
     """Arrow-batched map of rows to rows, one output row for each input row.
 

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import cut, map_rows, table
+from plantwatch.llm.common import bounded_sample, cut, map_rows, table
 
-#: Labelled pages that the scores are learned from, at most.
+#: Pages that the scores are learned from, at most, as far as they are labelled.
 SAMPLE = 2000
 #: A run of words counts so many words at most, so that one long run can't outweigh everything.
 RUN = 200
@@ -171,8 +171,8 @@ def learn(counts: dict[tuple[str, bool], float]) -> Scores:
 
 
 def fit(pages: DataFrame, most: int = SAMPLE) -> Scores:
-    """Scores learned from at most ``most`` labelled pages, the first by a hash of their id."""
-    sample = cut(pages.select("page_id", "html").where(F.col("html").contains("<article")).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(most))
+    """Scores learned from the labelled ones among ``most`` pages, the first by a hash of their id."""
+    sample = cut(bounded_sample(pages.select("page_id", "html"), "page_id", most).where(F.col("html").contains("<article")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
