@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import table
+from plantwatch.llm.common import bounded_sample, table
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 # The whole of a run that is long enough: shorter runs are dropped without a second try, so the length can stand in the pattern.
@@ -48,7 +48,7 @@ def samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     raw = F.unhex(digest)
     alphabets = (digest, F.upper(digest), F.base64(raw), F.translate(F.base64(raw), "+/", "-_"), F.conv(F.substring(digest, 1, 15), 16, 36), F.regexp_replace(F.base64(raw), "[^A-Za-z0-9]", ""))
     random = spark.range(RANDOM).select(F.explode(F.array(*alphabets)).alias("s")).select(F.lit(1).alias("random"), "s")
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
+    sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", most).where(F.col("text").isNotNull())
     words = sample.select(F.explode(F.expr(r"regexp_extract_all(text, '[A-Za-z]+(?:[_-][A-Za-z]+)*[0-9]?(?![0-9A-Za-z])', 0)")).alias("s")).where(F.length("s").between(4, 64))
     names = sorted(n for n in dir(F) if not n.startswith("__"))
     named = spark.range(1).select(F.explode(F.split(F.lit(",".join(names)), ",")).alias("s"))
