@@ -86,15 +86,18 @@ def repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """The units to remove: a row for each occurrence but the earliest of its digest."""
     found = cut(unit_rows(docs, least))
     first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    met = found.join(first, ["high", "low"])
-    # of rows that are the earliest all the same (a row repeated whole) all but one go
     here = F.struct("doc_id", "start")
-    later = met.where(here != F.col("first"))
-    tied = met.where(here == F.col("first")).groupBy("high", "low", "doc_id", "start", "end", "n_words", "n", "first").agg(F.count("*").alias("same")).where("same > 1")
-    tied = tied.select(*[F.col(c) for c in ("high", "low", "doc_id", "start", "end", "n_words", "n", "first")], F.explode(F.sequence(F.lit(2), F.col("same").cast("int"))).alias("copy")).drop("copy")
+    later = found.join(first, ["high", "low"]).where(here != F.col("first"))
+    # an earliest occurrence can come more than once only where rows repeat a doc_id: all but one of those go
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    tied = None
+    if not again.isEmpty():
+        met = found.join(again, "doc_id", "left_semi").join(first, ["high", "low"]).where(here == F.col("first"))
+        tied = met.groupBy("high", "low", "doc_id", "start", "end", "n_words", "n", "first").agg(F.count("*").alias("same")).where("same > 1")
+        tied = tied.withColumn("copy", F.explode(F.sequence(F.lit(2), F.col("same").cast("int"))))
     digest = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0"))).alias("digest")
     out = [F.col("doc_id"), F.col("start"), F.col("end"), F.col("n_words").cast("long").alias("n_words"), digest, F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("n").alias("occurrences")]
-    return later.select(*out).unionByName(tied.select(*out))
+    return later.select(*out) if tied is None else later.select(*out).unionByName(tied.select(*out))
 
 
 def op7_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
