@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import cut, map_rows, table, text_or_empty
+from plantwatch.llm.common import bounded_sample, cut, map_rows, table, text_or_empty
 
 SAMPLE = 6000
 FOLDS = 5
@@ -156,8 +156,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
     """(doc_id, text, toxic) of the labelled training rows, ``most`` at most."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # a single row over the bound would grow with nothing: ``most`` ids and flags are broadcast
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    # ``most`` ids and flags are broadcast, however many labels there are
+    chosen = F.broadcast(bounded_sample(chosen, "doc_id", most))
     return docs.select("doc_id", text_or_empty()).join(chosen, "doc_id")
 
 
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["toxic", "signature", "features"]) if out else pa.record_batch([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["toxic", "signature", "features"])
 
     seen: dict[tuple[int, int], bytes] = {}
-    for r in rows.select("text", "toxic").mapInArrow(hashed, "toxic int, signature long, features binary").orderBy("toxic", "signature", "features").collect():
+    for r in sorted(rows.select("text", "toxic").mapInArrow(hashed, "toxic int, signature long, features binary").collect()):
         seen.setdefault((r.toxic, r.signature), bytes(r.features))  # a group of near copies counts once
     totals = [sum(t == y for t, _ in seen) for y in (0, 1)]
     if not totals[1] or not totals[0]:
