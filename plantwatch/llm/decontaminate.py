@@ -8,15 +8,16 @@ word, so a row is judged from what it holds itself. What covers enough of an
 item's windows and fills its slots consistently (equal values of the item are
 equal in the document) is a leak, be it a copy or a re-parameterised question.
 
-Document windows are taken at every third place, benchmark windows at all: a
-common run of seven words always holds a window of both, and text that covers
-0.8 of an item's windows always has such a run.
+Windows are taken at every place of both, whatever they hold: each common run of
+five words is met. An item is laid along where such a run begins, once for each
+run. An item with hardly a word that is no placeholder would be met by any
+list of numbers or names, so its slots have to hold the very same values.
 
 The benchmark's windows are broadcast after their number has been checked;
 a larger benchmark is joined by a shuffle, where hot windows are split at run time.
 
 Defined results: null and empty texts match nothing, nor do benchmark items of
-fewer than seven words; repeated rows of a document are one document; repeated
+fewer than five words; repeated rows of a document are one document; repeated
 benchmark items are reported each; texts of any length are read whole; empty
 tables give no rows; further columns are not touched.
 """
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from plantwatch.llm.common import cut, table
 
-WIDTH, STRIDE = 5, 3
+WIDTH = 5
 #: Share of an item's windows that a document covers.
 COVERAGE = 0.8
-#: Words in a window that are no placeholders, at least; else it says too little to meet by.
+#: Words in an item that are no placeholders, at least; else it says too little without its values.
 LITERALS = 3
 #: Benchmark windows, and characters of its texts, that are small enough to be sent to every task.
 SMALL, SMALL_CHARS = 2_000_000, 50_000_000
@@ -64,20 +65,25 @@ def template(words: Column) -> Column:
     return _sub(words, (r"\x01[^ ]+", _NAME), (r"(?<![^ ])\p{N}+(?![^ ])", _NUMBER), (rf"(?<={_NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", _UNIT))
 
 
-def _windows(words: Column, stride: int) -> Column:
+def _windows(rows: DataFrame, words: str, at: str) -> DataFrame:
+    """The rows with a row for each window, its place ``at`` and its ``hash``; a row without windows has one at null.
+
+    No lambdas and no inferred filter: all of it runs in compiled code, and a text is neither copied for each of its
+    windows nor worked out twice.
+    """
     last = F.size(words) - WIDTH
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, WIDTH)))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
+    dealt = rows.select("*", F.explode_outer(starts).alias(at))
+    return dealt.withColumn("hash", F.xxhash64(*[F.get(words, F.col(at) + i) for i in range(WIDTH)]))
 
 
 def benchmark_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, item, raw) with word arrays, and (item_id, hash, place) of the windows that may meet."""
+    """(item_id, item, raw) with word arrays, and (item_key, place, hash, before) of all their windows; ``before`` is the word before."""
     words = benchmark.where("item_id is not null").select("item_id", plain(F.col("text")).alias("raw"))
-    items = words.select("item_id", F.split(template(F.col("raw")), " ").alias("item"), F.split("raw", " ").alias("raw")).where(F.size("item") >= WIDTH + STRIDE - 1)
+    items = words.select("item_id", F.split(template(F.col("raw")), " ").alias("item"), F.split("raw", " ").alias("raw")).where(F.size("item") >= WIDTH)
     items = cut(items.distinct().withColumn("item_key", F.xxhash64("item_id", F.concat_ws(" ", "raw"))))
-    windows = items.select("item_key", "item", F.posexplode(_windows(F.col("item"), 1)).alias("place", "hash"))
-    literal = F.size(F.filter(F.slice("item", F.col("place") + 1, WIDTH), lambda w: ~w.startswith("@")))
-    return items, cut(windows.where(literal >= LITERALS).select("item_key", "place", "hash"))
+    windows = _windows(items.select("item_key", "item"), "item", "place")
+    return items, cut(windows.select("item_key", "place", "hash", F.get("item", F.col("place") - 1).alias("before")))
 
 
 def _covered(here: Column, item: Column) -> Column:
@@ -87,12 +93,14 @@ def _covered(here: Column, item: Column) -> Column:
 
 
 def _consistent(item: Column, raw: Column, here: Column, said: Column) -> Column:
-    """Whether equal slot values of the item are equal in the document, over the slots that are laid on slots."""
+    """Whether equal slot values of the item are equal in the document, over the slots that are laid on slots; of an item that is hardly more than slots, whether they are the item's own."""
     laid = F.arrays_zip(item.alias("i"), raw.alias("r"), here.alias("h"), said.alias("s"))
     slots = F.filter(laid, lambda x: x["i"].startswith("@") & x["i"].eqNullSafe(x["h"]))
     asked = F.array_distinct(F.transform(slots, lambda x: F.concat(x["i"], x["r"])))
     filled = F.array_distinct(F.transform(slots, lambda x: F.concat(x["i"], x["r"], F.lit(" "), x["s"])))
-    return F.size(asked) == F.size(filled)
+    literal = F.size(F.filter(item, lambda w: ~w.startswith("@")))
+    own = F.forall(slots, lambda x: x["r"] == x["s"])
+    return (F.size(asked) == F.size(filled)) & ((literal >= LITERALS) | own)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -102,13 +110,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     small = windows.count() <= SMALL and sizes <= SMALL_CHARS
     said = docs.where("doc_id is not null and text is not null").select("doc_id", plain(F.col("text")).alias("said"))
     words = said.select("doc_id", "said", F.split(template(F.col("said")), " ").alias("words"))
-    place = F.col("k") * STRIDE - F.col("place")
+    place = F.col("k") - F.col("place")
+    # where the words before are equal too, the windows before have met at the same place
+    begins = F.col("before").isNull() | F.col("said_before").isNull() | (F.col("before") != F.col("said_before"))
     if small:  # one pass: a row that meets nothing ends where it was dealt out, and the words of one that does are at hand
-        dealt = words.select("doc_id", "said", "words", F.posexplode(_windows(F.col("words"), STRIDE)).alias("k", "hash"))
-        met = dealt.join(F.broadcast(windows), "hash").withColumn("at", place).drop("hash", "k", "place").join(F.broadcast(items), "item_key")
+        met = _windows(words, "words", "k").join(F.broadcast(windows), "hash").withColumn("said_before", F.get("words", F.col("k") - 1)).where(begins).withColumn("at", place).drop("hash", "k", "place", "before", "said_before").join(F.broadcast(items), "item_key")
     else:  # only hashes are shuffled; what met fetches its document's words again
         words = words.withColumn("text_key", F.xxhash64("said"))
-        dealt = words.select("doc_id", "text_key", F.posexplode(_windows(F.col("words"), STRIDE)).alias("k", "hash"))
+        dealt = _windows(words, "words", "k").where("k is not null").select("doc_id", "text_key", "k", "hash")
         places = dealt.join(windows.hint("merge"), "hash").select("doc_id", "text_key", "item_key", place.alias("at")).distinct()
         met = places.join(words, ["doc_id", "text_key"]).join(items, "item_key")
     # the item may begin before the document does, or end after it

@@ -158,6 +158,19 @@ def test_joined_leaks_equal_broadcast_ones(docs, spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want and want
 
 
+@pytest.mark.parametrize("small", [decontaminate.SMALL, 0])
+def test_leaks_at_every_offset_and_of_slots(spark, monkeypatch, small):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
+    rich = "A train travels 120 km in 2 hours and 300 km in 5 hours"
+    bench = spark.createDataFrame([(1, rich), (2, "Add 12 km 30 km 7 kg 9 kg"), (3, "what makes rivers flow north"), (4, "3 14 15 92 65 35")], "item_id long, text string")
+    texts = [(10 * k + j, "filler " * k + t) for k in range(6) for j, t in enumerate([rich, rich.replace("120", "90").replace("300", "77"), "add 13 km 31 km 8 kg 10 kg", "what makes rivers flow north", "3 14 15 92 65 35", "4 15 16 93 66 36"])]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    # the second item has one word that is no slot: other values are no copy of it, as with the fourth
+    assert got == {(10 * k + j, i) for k in range(6) for j, i in ((0, 1), (1, 1), (3, 3), (4, 4))}
+    own = spark.createDataFrame([(1, "so: add 12 km 30 km 7 kg 9 kg")], "doc_id long, text string")
+    assert [r.item_id for r in decontaminate.leaks(own, bench).collect()] == [2]
+
+
 def brute_secrets(text):
     text = text or ""
     a = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
