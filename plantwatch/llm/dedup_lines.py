@@ -7,6 +7,12 @@ hashed to 128 bits; digests are grouped over all documents, the earliest
 occurrence by (doc_id, start) stays, and every other is reported with its
 offsets in the source.
 
+Sentences depend on the text around them: a passage glued to words of its host
+shares its outer ones with no other place. So the query also takes units that
+only depend on the words they hold: words are cut wherever the hash of three of
+them is the least among its neighbours, and from each cut the words up to the
+next but one are a unit. Units may overlap; what they cover together is to go.
+
 Digests are counted before the shuffle, so a unit that a third of all rows
 share is one row from each task; the join that follows is one whose large
 partitions are split at run time.
@@ -21,9 +27,11 @@ table gives no rows; further columns are not touched.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +74,54 @@ def digests(text: str, least: int = WORDS) -> Iterator[tuple[int, int, int, int,
             yield a, b, len(words), int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def unit_rows(docs: DataFrame, least: int = WORDS) -> DataFrame:
+#: A cut is the least hash among as many on either side, so cuts are REACH + 1 words apart at least, 2 * REACH + 1 on average.
+REACH = 4
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+
+
+def content_cuts(words: list[str]) -> np.ndarray:
+    """Places in ``words`` that depend on the words nearby only: REACH before and REACH + 2 after."""
+    known: dict[str, int] = {w: crc32(w.encode()) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(h) < 2 * REACH + 3:
+        return np.zeros(0, np.int64)
+    g = h[:-2] * _MIX[0] + h[1:-1] * _MIX[1] + h[2:] * _MIX[2]
+    g = (g ^ (g >> np.uint64(29))) * _MIX[1]
+    n = len(g) - 2 * REACH
+    middle, least = g[REACH : REACH + n], np.ones(n, bool)
+    for k in range(REACH):
+        least &= (middle < g[k : k + n]) & (middle <= g[REACH + 1 + k : REACH + 1 + k + n])
+    return np.flatnonzero(least) + REACH
+
+
+def passages(text: str, least: int = WORDS) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, words, high, low) of the units between content-defined cuts, whatever lines and sentences they lie in."""
+    lower = text.lower()
+    if len(lower) == len(text):
+        words, spans = _WORDS.findall(lower), [m.span() for m in _WORDS.finditer(lower)]
+    else:  # some letters have a longer lower case, and offsets are those of the source
+        spans = [m.span() for m in _WORDS.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+    cuts = content_cuts(words).tolist()
+    for i, j in zip(cuts, cuts[2:], strict=False):
+        if j - i >= least:
+            h = blake2b(" ".join(words[i:j]).encode(), digest_size=16).digest()
+            yield spans[i][0], spans[j - 1][1], j - i, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
+def all_digests(text: str, least: int = WORDS) -> Iterator[tuple[int, int, int, int, int]]:
+    """Each span once, by sentences and by content-defined cuts."""
+    seen = set()
+    for unit in (*digests(text, least), *passages(text, least)):
+        if unit[:2] not in seen:
+            seen.add(unit[:2])
+            yield unit
+
+
+Digests = Callable[[str, int], Iterator[tuple[int, int, int, int, int]]]
+
+
+def unit_rows(docs: DataFrame, least: int = WORDS, of: Digests = digests) -> DataFrame:
     """(doc_id, start, end, n_words, high, low) of every unit that is long enough."""
     schema = "doc_id long, start long, end long, n_words int, high long, low long"
     target = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
@@ -75,16 +130,16 @@ def unit_rows(docs: DataFrame, least: int = WORDS) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                rows = [(i, *u) for i, t in zip(ids, texts, strict=True) for u in digests(t, least)]
+                rows = [(i, *u) for i, t in zip(ids, texts, strict=True) for u in of(t, least)]
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
     return docs.where("doc_id is not null").select("doc_id", text_or_empty()).mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
+def repeats(docs: DataFrame, least: int = WORDS, of: Digests = digests) -> DataFrame:
     """The units to remove: a row for each occurrence but the earliest of its digest."""
-    found = cut(unit_rows(docs, least))
+    found = cut(unit_rows(docs, least, of))
     first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
     here = F.struct("doc_id", "start")
     later = found.join(first, ["high", "low"]).where(here != F.col("first"))
@@ -101,4 +156,4 @@ def repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
 
 
 def op7_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"), of=all_digests)

@@ -212,6 +212,19 @@ def test_repeats_of_a_row_repeated_whole(spark):
     assert got == [(7, 0, n, 7, 0), (8, 0, n + 1, 7, 0), (9, 2, 2 + n, 7, 0), (9, 3 + n, 3 + 2 * n, 7, 0)]
 
 
+def test_passages_glued_to_their_host(spark):
+    r = random.Random(11)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    pasted = [fresh(60) for _ in range(30)]
+    rows = [(i, f"{fresh(7)} {p} {fresh(9)}") for i, p in enumerate(pasted)] + [(100 + i, f"{fresh(20)}\n{fresh(3)} {p.upper()} {fresh(5)}") for i, p in enumerate(pasted)]
+    text = dict(rows)
+    got = dedup_lines.repeats(spark.createDataFrame(rows, "doc_id long, text string"), of=dedup_lines.all_digests).collect()
+    assert {x.doc_id for x in got} == set(range(100, 130))
+    assert all(text[x.doc_id][x.start : x.end].lower() in pasted[x.doc_id - 100] and x.first_doc_id == x.doc_id - 100 for x in got)
+    # in Turkish capitals, too, offsets are those of the source
+    assert [(("İ " + pasted[0])[a:b], n) for a, b, n, *_ in dedup_lines.passages("İ " + pasted[0])][-1:] == [(pasted[0][a:b], n) for a, b, n, *_ in dedup_lines.passages(pasted[0])][-1:]
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 2000)
     rows = [(i, f"http://www.h{i % 3}.com/a?b={i // 7}" if i % 11 else None, None if i == 5 else "" if i == 6 else "short" if i in (7, 8) else "x\r\n\r\nWARC/1.1\r\né" * 20 if i % 4 == 0 else f"p{i} " * 50, "extra") for i in range(40)]
