@@ -1,8 +1,9 @@
 """Substring dedup by hashing normalised lines and sentences.
 
 A text is cut into lines, and lines into sentences, as a passage pasted into
-the middle of a paragraph shares no whole line with its other places. Units of
-at least ``WORDS`` words are normalised (case, punctuation and white space) and
+the middle of a paragraph shares no whole line with its other places. Lines of
+any length that hold a word, and sentences of at least ``WORDS`` words (or of as
+many characters, where a script has no spaces), are normalised (case, punctuation and white space) and
 hashed to 128 bits; digests are grouped over all documents, the earliest
 occurrence by (doc_id, start) stays, and every other is reported with its
 offsets in the source.
@@ -11,7 +12,7 @@ Sentences depend on the text around them: a passage glued to words of its host
 shares its outer ones with no other place. So the query also takes units that
 only depend on the words they hold: words are cut wherever the hash of three of
 them is the least among its neighbours, and from each cut the words up to the
-next but one are a unit. Units may overlap; what they cover together is to go.
+next one that makes it long enough are a unit. Units may overlap; what they cover together is to go.
 
 Digests are counted before the shuffle, so a unit that a third of all rows
 share is one row from each task; the join that follows is one whose large
@@ -27,7 +28,7 @@ table gives no rows; further columns are not touched.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from hashlib import blake2b
 from zlib import crc32
 
@@ -38,11 +39,19 @@ from pyspark.sql import functions as F
 
 from plantwatch.llm.common import cut, table, text_or_empty
 
-#: Shorter units repeat by chance and carry little; they are never removed on their own.
+#: Shorter fragments of a line repeat by chance and carry little; whole lines count at any length.
 WORDS = 8
 
-_END = re.compile(r"[.!?…。！？]+[\"'»”’)\]]*(?=\s)")
+# scripts without spaces: Thai, Lao, Burmese, Khmer, Chinese, Japanese
+_CHARS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3105-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SPACELESS = re.compile(f"[{_CHARS}]")
+# full stops of scripts without spaces need no white space after them
+_END = re.compile(r"[.!?…。！？]+[\"'»”’)\]]*(?=\s)|[。！？｡]+[\"'»”’)\]」』）]*")
 _WORDS = re.compile(r"\w+")
+# there, each character is a word to be cut at
+_TOKENS = re.compile(rf"[{_CHARS}]|[^\W{_CHARS}]+")
+#: So many characters of a script without spaces are as long as a word.
+CHARS = 2
 #: A line of sentences shorter than this on average (shouting, lists) is one unit.
 TERSE = 4
 
@@ -63,19 +72,39 @@ def units(text: str) -> Iterator[tuple[int, int]]:
         start = stop + 1
 
 
+def _length(raw: str, words: list[str]) -> int:
+    """Words, or, where a script has no spaces, what as many characters amount to."""
+    if raw.isascii() or not (chars := len(_SPACELESS.findall(raw))):
+        return len(words)
+    return max(len(words), len(_TOKENS.findall(raw)) - chars + chars // CHARS)
+
+
+def _unit(a: int, b: int, length: int, words: list[str]) -> tuple[int, int, int, int, int]:
+    h = blake2b(" ".join(words).encode(), digest_size=16).digest()
+    return a, b, length, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
 def digests(text: str, least: int = WORDS) -> Iterator[tuple[int, int, int, int, int]]:
     """(start, end, words, high, low) of every unit that is long enough."""
     for a, b in units(text):
         raw = text[a:b]
         words = _WORDS.findall(raw.lower())
-        if len(words) >= least:
-            a, b = a + len(raw) - len(raw.lstrip()), b - len(raw) + len(raw.rstrip())
-            h = blake2b(" ".join(words).encode(), digest_size=16).digest()
-            yield a, b, len(words), int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+        if (length := _length(raw, words)) >= least:
+            yield _unit(a + len(raw) - len(raw.lstrip()), b - len(raw) + len(raw.rstrip()), length, words)
+
+
+def lines(text: str, known: Container[tuple[int, int]] = ()) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, words, high, low) of every line that holds a word and is not known by its span."""
+    start = 0
+    for line in text.split("\n"):
+        a, b = start + len(line) - len(line.lstrip()), start + len(line.rstrip())
+        if (a, b) not in known and (words := _WORDS.findall(line.lower())):
+            yield _unit(a, b, _length(line, words), words)
+        start += len(line) + 1
 
 
 #: A cut is the least hash among as many on either side, so cuts are REACH + 1 words apart at least, 2 * REACH + 1 on average.
-REACH = 4
+REACH = 5
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -96,29 +125,32 @@ def content_cuts(words: list[str]) -> np.ndarray:
 
 def passages(text: str, least: int = WORDS) -> Iterator[tuple[int, int, int, int, int]]:
     """(start, end, words, high, low) of the units between content-defined cuts, whatever lines and sentences they lie in."""
-    lower = text.lower()
+    lower, spaced = text.lower(), text.isascii() or not _SPACELESS.search(text)
+    pattern = _WORDS if spaced else _TOKENS
     if len(lower) == len(text):
-        words, spans = _WORDS.findall(lower), [m.span() for m in _WORDS.finditer(lower)]
+        words, found = pattern.findall(lower), list(pattern.finditer(lower))
     else:  # some letters have a longer lower case, and offsets are those of the source
-        spans = [m.span() for m in _WORDS.finditer(text)]
-        words = [text[a:b].lower() for a, b in spans]
+        found = list(pattern.finditer(text))
+        words = [m[0].lower() for m in found]
     cuts = content_cuts(words).tolist()
-    for i, j in zip(cuts, cuts[2:], strict=False):
-        if j - i >= least:
-            h = blake2b(" ".join(words[i:j]).encode(), digest_size=16).digest()
-            yield spans[i][0], spans[j - 1][1], j - i, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+    for at, i in enumerate(cuts):
+        for j in cuts[at + 1 :]:  # the next cut that makes it long enough
+            a, b = found[i].start(), found[j - 1].end()
+            length = j - i if spaced else _length(text[a:b], [])
+            if length >= least:
+                yield _unit(a, b, length, words[i:j])
+                break
 
 
-def all_digests(text: str, least: int = WORDS) -> Iterator[tuple[int, int, int, int, int]]:
-    """Each span once, by sentences and by content-defined cuts."""
-    seen = set()
-    for unit in (*digests(text, least), *passages(text, least)):
-        if unit[:2] not in seen:
-            seen.add(unit[:2])
-            yield unit
+def all_digests(text: str, least: int = WORDS) -> list[tuple[int, int, int, int, int]]:
+    """Each span once, by whole lines, sentences and content-defined cuts."""
+    out = list(digests(text, least))
+    out += lines(text, {u[:2] for u in out})
+    seen = {u[:2] for u in out}
+    return out + [u for u in passages(text, least) if u[:2] not in seen]
 
 
-Digests = Callable[[str, int], Iterator[tuple[int, int, int, int, int]]]
+Digests = Callable[[str, int], Iterable[tuple[int, int, int, int, int]]]
 
 
 def unit_rows(docs: DataFrame, least: int = WORDS, of: Digests = digests) -> DataFrame:

@@ -225,6 +225,14 @@ def test_passages_glued_to_their_host(spark):
     assert [(("İ " + pasted[0])[a:b], n) for a, b, n, *_ in dedup_lines.passages("İ " + pasted[0])][-1:] == [(pasted[0][a:b], n) for a, b, n, *_ in dedup_lines.passages(pasted[0])][-1:]
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    said = "今天天气很好所以我们去公园散步。然后我们一起回家吃晚饭看电视节目直到很晚才睡觉。"
+    rows = [(1, "One text\nAll rights reserved\n..."), (2, "Another one\n  all rights RESERVED.\n..."), (3, f"甲{said}"), (4, f"乙丙\n{said}")]
+    got = {(x.doc_id, x.start, x.end, x.first_doc_id) for x in dedup_lines.repeats(spark.createDataFrame(rows, "doc_id long, text string"), of=dedup_lines.all_digests).collect()}
+    assert {x for x in got if x[0] < 3} == {(2, 14, 34, 1)}
+    assert (4, 3 + said.index("然"), 3 + len(said), 3) in got
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 2000)
     rows = [(i, f"http://www.h{i % 3}.com/a?b={i // 7}" if i % 11 else None, None if i == 5 else "" if i == 6 else "short" if i in (7, 8) else "x\r\n\r\nWARC/1.1\r\né" * 20 if i % 4 == 0 else f"p{i} " * 50, "extra") for i in range(40)]
