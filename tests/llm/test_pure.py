@@ -90,6 +90,20 @@ def test_quality_bands():
     assert quality.measure(slow, z)["reason"] == "repetitive"
 
 
+def test_short_noise_is_told_from_short_prose():
+    z, r = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = re.sub(r"\s+", " ", (quality.__doc__ + simhash.__doc__ + warc.__doc__))
+    for n in (249, 299, 350, 399, 430, 480, 560, 659, 760, 899, 1200, 1559, 1949):
+        k = n // 50 - 1
+        for _ in range(20):
+            noise = " ".join("".join(r.choice(letters) for _ in range(k)) for _ in range(n))[:n]
+            got = quality.measure(noise, z)
+            assert got["n_words"] >= 50 and got["reason"] == "incompressible", (n, got["ratio"])
+        if n >= 399:
+            assert quality.measure(prose[:n], z)["kept"], n
+
+
 # fingerprints
 
 
