@@ -31,8 +31,8 @@ BANDS = (
     (512, 0.18, 0.80), (640, 0.18, 0.79), (768, 0.18, 0.755), (1024, 0.18, 0.74), (1536, 0.18, 0.74), (2048, 0.14, 0.74), (8192, 0.10, 0.72), (32768, 0.08, 0.70),
 )
 CHUNK_BAND = (0.10, 0.74)
-#: A text is rejected when this share of its chunks lies outside the chunk band.
-CHUNK_SHARE = 0.5
+#: A text is rejected when this share of its chunks lies outside the chunk band, or so many in a row.
+CHUNK_SHARE, CHUNK_RUN = 0.1, 3
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 # str.split() and str.isspace() know more white space than the rule's six characters
@@ -86,14 +86,18 @@ def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> dict:
     ratio = len(compressor.compress(data)) / len(data) if data else 0.0
     low, high = band(len(data))
     why = "" if low <= ratio <= high else "repetitive" if ratio < low else "incompressible"
-    bad = chunks = 0
-    if len(data) >= 2 * CHUNK:
+    bad = chunks = run = longest = 0
+    if len(data) > CHUNK:
         view = memoryview(data)
-        for start in range(0, len(data) - CHUNK + 1, CHUNK):
+        # the last chunk ends where the text does
+        for start in [*range(0, len(data) - CHUNK, CHUNK), len(data) - CHUNK]:
             share = len(compressor.compress(view[start : start + CHUNK])) / CHUNK
+            outside = not CHUNK_BAND[0] <= share <= CHUNK_BAND[1]
             chunks += 1
-            bad += not CHUNK_BAND[0] <= share <= CHUNK_BAND[1]
-        if not why and bad >= CHUNK_SHARE * chunks:
+            bad += outside
+            run = run + 1 if outside else 0
+            longest = max(longest, run)
+        if not why and (bad and bad >= CHUNK_SHARE * chunks or longest >= CHUNK_RUN):
             why = "chunks"
     base_failed = n_words < 50 or 100 * repeats > 50 * n_words
     return {

@@ -104,6 +104,20 @@ def test_short_noise_is_told_from_short_prose():
             assert quality.measure(prose[:n], z)["kept"], n
 
 
+def test_chunks_of_noise_in_prose():
+    z, r = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(4)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    words = [word("abcdefghijklmnopqrstuvwxyz", r.randint(2, 8)) for _ in range(2000)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))[: n - 1] + "\n"
+    noise = lambda n: " ".join(word("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 60) for _ in range(n // 61 + 1))[: n - 1] + "\n"
+    for n in (4097, 5000, 30_000, 400_000):
+        assert quality.measure(prose(n), z)["kept"]
+    size = quality.CHUNK
+    for text in (prose(7 * size) + noise(5 * size), prose(3 * size) + noise(size), prose(2 * size + 100) + noise(size), prose(90 * size) + noise(4 * size) + prose(90 * size)):
+        got = quality.measure(text, z)
+        assert got["reason"] == "chunks" and not got["kept"], (len(text), got["ratio"], got["chunks_outside"])
+
+
 # fingerprints
 
 
