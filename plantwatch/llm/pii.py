@@ -103,10 +103,19 @@ _TOKEN = re.compile(r"[a-zà-ÿ]+|[0-9]+")
 _BRACKET_AT = re.compile(r"[\x20]{0,3}[\[({<][\x20]{0,2}(?:at|@|arroba|chez)[\x20]{0,2}[\])}>][\x20]{0,3}", re.IGNORECASE)
 _BRACKET_DOT = re.compile(r"[\x20]{0,3}[\[({<][\x20]{0,2}(?:dot|punkt|punto|point|\.)[\x20]{0,2}[\])}>][\x20]{0,3}", re.IGNORECASE)
 _BARE = re.compile(r"(?<=[A-Za-z0-9_%+-])[\x20_]{1,3}(?:at|arroba)[\x20_]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}[A-Za-z0-9-]{1,63}){1,6})", re.IGNORECASE)
-#: Without spelled dots the local part must look like one: it ends with a digit.
-_AT = re.compile(r"(?<=[0-9])[\x20]{1,2}(?:at|AT)[\x20]{1,2}(?=[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,4}\.[a-z]{2,12}(?![A-Za-z0-9]))")
+#: Without spelled dots the local part must look like one: see _looks_local.
+_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])[\x20]{1,2}(?:at|AT)[\x20]{1,2}(?=[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,4}\.[a-z]{2,12}(?![A-Za-z0-9]))")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[\x20]{1,2}@[\x20]{0,2}|@[\x20]{1,2})(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2})")
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}(?=[A-Za-z0-9])", re.IGNORECASE)
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
+_LOCAL_SIGN = re.compile(r"[0-9_%+]|[A-Za-z]\.[A-Za-z]")
+#: What may stand before a local part that is a mere word.
+_CONTEXT = re.compile(
+    r"(?<![^\W_])(?:(?:e-?)?mail(?:s|to|en|ed|ing)?|contact(?:s|er|ez|o|ar)?|kontakt|courriel|correo|reach|write|schreib(?:e|en|t)?|[ée]cri(?:re|vez)|escrib(?:a|e|ir)|address|adresse|direcci[óo]n)"
+    r"(?:\s+(?:to|at|is|an|à|a|address|adresse|ist|est|es))*\s*(?P<sign>[:=]?)\s*\Z", re.IGNORECASE,
+)
+#: Words that follow those without being an address, unless a colon parts them.
+_NO_LOCAL = frozenset("me us him her them it you one to at is an for from in on and or the a by via with here there now page form server servers address addresses list lists account accounts service services details information mich uns ihn sie moi nous nos".split())
 _DOT_WORDS = ("dot", "punkt", "punto", "point")
 
 
@@ -170,6 +179,16 @@ def _plain(c: str) -> str:
     return folded if folded.isascii() and len(folded) == 1 else c
 
 
+def _looks_local(m: re.Match) -> bool:
+    """Whether what ends where the match begins is a local part: by a sign that words don't hold, or by a word before it that asks for one."""
+    text, end = m.string, m.start()
+    local = _LOCAL_END.search(text, max(0, end - 64), end)
+    if _LOCAL_SIGN.search(local[0]):
+        return True
+    before = _CONTEXT.search(text[max(0, local.start() - 48) : local.start()])
+    return bool(before) and (bool(before["sign"]) or local[0].lower() not in _NO_LOCAL)
+
+
 def _digits(m: re.Match) -> str:
     """The digits said; a single word said over and over is no number."""
     if not re.search(r"[^\W\d_]", m[0]):
@@ -190,7 +209,7 @@ def normalise(text: str) -> Aligned:
         out = out.rewrite(_BRACKET_AT, lambda m: "@").rewrite(_BARE, lambda m: "@").rewrite(_SPACED_AT, lambda m: "@").rewrite(_BRACKET_DOT, lambda m: ".")
         out = _dots(out)
     if " at " in lower:
-        out = out.rewrite(_AT, lambda m: "@")
+        out = out.rewrite(_AT, lambda m: "@" if _looks_local(m) else m[0])
     return out
 
 

@@ -54,6 +54,18 @@ def test_disguises_map_back():
     assert pii.redact_text("a@b.cd and 1.2.3.4") == "<email> and <ip>"
 
 
+def test_at_disguises_without_digits():
+    for local, before in [("jane.doe", ""), ("jane_doe", "ask "), ("jane+news", "so "), ("j4ne", "by "), ("jane", "mail "), ("jane", "Contact: "), ("jane", "write to "), ("us", "e-mail: "), ("a.b-c", "(")]:
+        for at in (" at ", "  AT "):
+            said = f"{local}{at}mail.example.com"
+            text = f"{before}{said}, thanks"
+            base, more = pii.find(text)
+            assert not base and [(text[a:b], k) for a, b, k in more] == [(said, "email")], text
+            assert pii.redact_text(text) == f"{before}<email>, thanks"
+    for text in ("look at example.com", "It ended. We met at example.com", "contact us at example.com", "the contact page at example.com", "mail me at example.com", "- at example.com"):
+        assert pii.find(text) == ([], []), text
+
+
 def test_long_text_is_linear():
     assert pii.find("1" * 200_000)[0] == [] and pii.find("a." * 100_000)[0] == []
 
