@@ -132,11 +132,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    found = cut(leaks(docs, benchmark).select("doc_id").distinct())
+    """The documents that hold no benchmark item, with all their columns; a row without a doc_id is judged by its text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    found = cut(leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct())
     if found.count() <= SMALL_IDS:
         found = F.broadcast(found)
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, key == F.col("_key"), "left_anti").select(*docs.columns)
 
 
 def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

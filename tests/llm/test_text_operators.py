@@ -171,6 +171,14 @@ def test_leaks_at_every_offset_and_of_slots(spark, monkeypatch, small):
     assert [r.item_id for r in decontaminate.leaks(own, bench).collect()] == [2]
 
 
+def test_leaks_of_rows_without_an_id(spark):
+    item = "what makes the rivers flow north in the spring of a dry year"
+    rows = [(None, f"so {item} and more", "a"), (None, "nothing of that kind stands in here", "b"), (None, None, "c"), (1, f"so {item} and more", "d"), (2, "nothing of that kind stands in here", "e")]
+    found = spark.createDataFrame(rows, "doc_id long, text string, payload string")
+    got = decontaminate.clean(found, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(x.payload for x in got.collect()) == ["b", "c", "e"] and got.columns == found.columns
+
+
 def brute_secrets(text):
     text = text or ""
     a = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
