@@ -21,7 +21,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     def one(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return "null"
         if isinstance(v, float):
             return f"{v:.4f}".replace("-0.0000", "0.0000")
