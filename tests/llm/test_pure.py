@@ -268,12 +268,27 @@ def test_records_are_walked_by_length():
 
 
 def test_units():
-    text = "One two three four five six seven eight. Nine!\nshort\nA B C D E F G H I"
-    spans = [(text[a:b], n) for a, b, n, _, _ in dedup_lines.digests(text)]
-    assert spans == [("One two three four five six seven eight.", 8), ("A B C D E F G H I", 9)]
-    same = [d[3:] for t in ("one  TWO three, four five six seven eight.", text) for d in dedup_lines.digests(t)]
+    text = "One two three four five six seven eight. Nine!\nshort\n  A B C D E F G H I \n...\n\nlast"
+    of = lambda *kinds: [(text[a:b], (j - i) / 2) for a, b, i, j, _, _ in dedup_lines.units(text, kinds)]
+    assert of("sentence") == [("One two three four five six seven eight.", 8), ("A B C D E F G H I", 9)]
+    assert of("line") == [("One two three four five six seven eight. Nine!", 9), ("short", 1), ("A B C D E F G H I", 9), ("last", 1)]
+    assert of("paragraph") == [(text[: text.index("\n\n")], 19), ("last", 1)]
+    same = [next(dedup_lines.units(t, ["sentence"]))[4:] for t in ("one  TWO three, four five six seven eight.", text)]
     assert same[0] == same[1]
-    assert list(dedup_lines.digests("")) == []
+    assert list(dedup_lines.units("")) == [] == list(dedup_lines.units(" \n.\n"))
+
+
+@pytest.mark.parametrize("alphabet", ["ab_1 \n.-", "aéß\u0130 \n\u0301.x", "ab \u4e2d\u6587\u3002\n"])
+def test_words_lie_where_they_are_read(alphabet):
+    r = random.Random(alphabet)
+    for _ in range(400):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 60)))
+        found = dedup_lines.Words(text)
+        assert [text[a:b].lower() for a, b in zip(found.starts.tolist(), found.ends.tolist(), strict=True)] == found.words
+        if found.spaced:
+            assert len(found.words) == len(re.findall(r"\w+", text)) and found.before[-1] == 2 * len(found.words)
+        for a, b, i, j, *_ in dedup_lines.units(text):
+            assert text[a:b] == text[a:b].strip() and 0 <= i < j <= found.before[-1]
 
 
 def test_label_model_finds_accuracies():

@@ -205,17 +205,64 @@ def test_secrets(spark, docs, none):
     assert len(secrets.fit(none)) == len(secrets.LETTERS) ** 2
 
 
-def test_repeats(docs, none):
-    got = dedup_lines.repeats(docs).collect()
-    assert dedup_lines.repeats(none).count() == 0
-    # the text of document 1 comes three times more, once in document 8 with words added
-    assert sorted((r.doc_id, r.start, r.first_doc_id) for r in got) == [(2, 0, 1), (2, 0, 1)]
+def brute_repeats(rows, run, kinds):
+    """Occurrences to remove, from a plain dictionary of units and words counted one by one."""
+    places = {}
+    for n, (i, text) in enumerate(rows):
+        for a, b, f, t, *key in dedup_lines.units(text or "", kinds):
+            places.setdefault(tuple(key), []).append((i, a, n, b, f, t))
+    later = sorted((x[2], x[4], x[5], x[0], x[1], x[3], min(v)[0], min(v)[1]) for v in places.values() for x in v if x[:3] != min(v)[:3])
+    out, stretch, row, reached = [], [], None, -1
+    for x in [*later, (None, 0, 0)]:
+        if x[0] != row or x[1] > reached:
+            if stretch and max(y[2] for y in stretch) - stretch[0][1] >= 2 * run:
+                out += [y[3:] for y in stretch]
+            stretch, row, reached = [], x[0], -1
+        stretch.append(x)
+        reached = max(reached, x[2])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kinds", [("line", "passage"), ("paragraph",), ("line", "sentence")])
+def test_repeats_against_brute_force(spark, docs, none, kinds):
+    r = random.Random(str(kinds))
+    rows = [(i, t) for i, t, *_ in ROWS if i is not None and i != 6]
+    for i in range(100, 160):
+        parts = [prose(r.randint(0, 9), r.choice([3, 20, 40])) for _ in range(r.randint(1, 4))]
+        rows.append((i, r.choice(["\n", " ", "\n\n"]).join([prose(1000 + i, 5), *parts, prose(2000 + i, 7)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for run in (1, 12, dedup_lines.RUN):
+        got = sorted((x.doc_id, x.start, x.end, x.first_doc_id, x.first_start) for x in dedup_lines.repeats(df, run, kinds).collect())
+        assert got == brute_repeats(rows, run, kinds) and (got or kinds == ("paragraph",))
+    assert dedup_lines.repeats(none).count() == 0 and dedup_lines.remove(none).count() == 0
+
+
+def test_remove_keeps_offsets(spark, docs):
+    got = dedup_lines.remove(docs)
+    assert got.columns == [*docs.columns, "kept"] and ids(got) == ALL
+    source = {(r[0], r[5]): r[1] for r in ROWS}
+    for x in got.collect():
+        old = source[x.doc_id, x.fp]
+        assert (x.text is None) == (old is None) == (x.kept is None)
+        if old is not None:
+            assert x.text == "".join(old[p.start : p.end] for p in x.kept)
+            assert all(x.text[p.at : p.at + p.end - p.start] == old[p.start : p.end] for p in x.kept)
+    assert sorted(x.text for x in got.where("doc_id = 2").collect()) == ["", ""]
+
+
+def test_short_lines_stay_unless_a_passage_holds_them(spark):
+    line, fresh = "all rights reserved", prose(77, 40)
+    rows = [(1, f"{line}\n{prose(78, 30)}"), (2, f"{prose(79, 30)}\n{line}"), (3, f"{line}\n{fresh}"), (4, f"{line}\n{fresh}\nand more of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.start, x.end) for x in dedup_lines.repeats(df, kinds=["line"]).collect()}
+    assert got == {(4, 0, len(line)), (4, len(line) + 1, len(line) + 1 + len(fresh))}
+    assert {(x.doc_id, x.start) for x in dedup_lines.repeats(df, 1, ["line"]).collect()} >= {(2, len(rows[1][1]) - len(line)), (3, 0)}
 
 
 def test_repeats_of_a_row_repeated_whole(spark):
     line = "one two three four five six seven eight nine"
     df = spark.createDataFrame([(7, line), (7, line), (9, f"x\n{line}\n{line}"), (8, line.upper() + "!")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in dedup_lines.repeats(df).collect())
+    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in dedup_lines.repeats(df, 1, ["line"]).collect())
     n = len(line)
     assert got == [(7, 0, n, 7, 0), (8, 0, n + 1, 7, 0), (9, 2, 2 + n, 7, 0), (9, 3 + n, 3 + 2 * n, 7, 0)]
 
@@ -226,19 +273,20 @@ def test_passages_glued_to_their_host(spark):
     pasted = [fresh(60) for _ in range(30)]
     rows = [(i, f"{fresh(7)} {p} {fresh(9)}") for i, p in enumerate(pasted)] + [(100 + i, f"{fresh(20)}\n{fresh(3)} {p.upper()} {fresh(5)}") for i, p in enumerate(pasted)]
     text = dict(rows)
-    got = dedup_lines.repeats(spark.createDataFrame(rows, "doc_id long, text string"), of=dedup_lines.all_digests).collect()
+    got = dedup_lines.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id for x in got} == set(range(100, 130))
     assert all(text[x.doc_id][x.start : x.end].lower() in pasted[x.doc_id - 100] and x.first_doc_id == x.doc_id - 100 for x in got)
     # in Turkish capitals, too, offsets are those of the source
-    assert [(("İ " + pasted[0])[a:b], n) for a, b, n, *_ in dedup_lines.passages("İ " + pasted[0])][-1:] == [(pasted[0][a:b], n) for a, b, n, *_ in dedup_lines.passages(pasted[0])][-1:]
+    spans = lambda t: [(t[u[0] : u[1]], u[3] - u[2]) for u in dedup_lines.units(t, ["passage"])]
+    assert spans("\u0130 " + pasted[0])[-1:] == spans(pasted[0])[-1:]
 
 
-def test_short_lines_and_scripts_without_spaces(spark):
+def test_scripts_without_spaces(spark):
     said = "今天天气很好所以我们去公园散步。然后我们一起回家吃晚饭看电视节目直到很晚才睡觉。"
-    rows = [(1, "One text\nAll rights reserved\n..."), (2, "Another one\n  all rights RESERVED.\n..."), (3, f"甲{said}"), (4, f"乙丙\n{said}")]
-    got = {(x.doc_id, x.start, x.end, x.first_doc_id) for x in dedup_lines.repeats(spark.createDataFrame(rows, "doc_id long, text string"), of=dedup_lines.all_digests).collect()}
-    assert {x for x in got if x[0] < 3} == {(2, 14, 34, 1)}
-    assert (4, 3 + said.index("然"), 3 + len(said), 3) in got
+    rows = [(3, f"甲{said}"), (4, f"乙丙\n{said}"), (5, f"丁\n{said}\n戊")]
+    got = {(x.doc_id, x.start, x.end, x.first_doc_id) for x in dedup_lines.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()}
+    # each character weighs half a word, so the line of 38 is one of 19
+    assert (5, 2, 2 + len(said), 4) in got
 
 
 def test_warc(spark, monkeypatch):
