@@ -186,12 +186,26 @@ def test_encoder_gives_the_tokenizers_ids():
 
     path = public_tokenizers.path(packing.VOCABULARY)
     ours, theirs, r = packing.Encoder(path), Tokenizer.from_file(path), random.Random(0)
-    theirs.encode_special_tokens = True
+    parts = [*"'sdtrevelm  \n\n\tab1²é_-#.Ø×ſ\r½漢😀\x1c\x85\xa0|<endoftext>", "<|endoftext|>", " " * 5000, "\n " * 3000]
     for _ in range(3000):
-        text = "".join(r.choice("'sdtrevelm  \n\n\tab1²é_-#.Ø×ſ\r½漢😀\x1c\x85\xa0|<endoftext>") for _ in range(r.randint(0, 14)))
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
         assert ours.text(text).tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t \n", "a", "1", "-", "漢", "ab ", " <|endoftext|>"])
+def test_encoder_takes_long_texts_of_one_kind(unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    ours = packing.Encoder(path)
+    text = unit * (20_000 // len(unit))
+    assert ours.text(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    long = unit * (2_000_000 // len(unit))
+    ids = ours.text(long)
+    assert b"".join(ours.model.decode_single_token_bytes(i) if i != 50256 else b"<|endoftext|>" for i in ids.tolist()).decode() == long
+
+
 def test_cuts():
     assert packing.cuts(1024) == [(0, 1024)] and packing.cuts(1) == [(0, 1)]
     assert packing.cuts(1025) == [(0, 1), (1, 1024)] and packing.cuts(2048) == [(0, 1024), (1024, 1024)]

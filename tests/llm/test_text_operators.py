@@ -107,7 +107,6 @@ def test_packing(docs, none):
 
     path = public_tokenizers.path(packing.VOCABULARY)
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     assert packing.pack_documents(none).count() == 0
     for per_task in (packing.ITEMS, 3):  # the second goes through several rounds
         got = packing.pack(packing.pieces(docs, path), per_task=per_task).toPandas()
@@ -121,6 +120,23 @@ def test_packing(docs, none):
         assert got[got.doc_id == 6].length.sort_values().iloc[1] == 1024
 
 
+def test_packing_rounds_reach_the_lower_bound(spark):
+    r = random.Random(3)
+    lengths = [min(1023, int(r.expovariate(1 / 300)) + 1) for _ in range(6000)] + [1024] * 5 + [1] * 500
+    rows = [(i // 3, i % 3, 0, n, i) for i, n in enumerate(lengths)] + [(7, 0, 0, 400, 9)] * 40
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    least = -(-sum(x[3] for x in rows) // 1024)
+    for per_task, most in ((packing.ITEMS, 1.01), (400, 1.02)):
+        got = packing.pack(items, per_task=per_task).toPandas()
+        assert sorted(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == sorted(rows)
+        g = got.sort_values(["sequence_id", "offset"])
+        assert (g.offset == g.groupby("sequence_id").length.cumsum() - g.length).all() and (got.groupby("sequence_id").length.sum() <= 1024).all()
+        assert got.sequence_id.nunique() <= most * least + 1
+    # what has no partner ends after a round
+    lone = spark.createDataFrame([(i, 0, 0, 700, i) for i in range(2000)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert packing.pack(lone, per_task=100).select("sequence_id").distinct().count() == 2000
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()} == {toxicity.Model().score("")}
