@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-Lexicons are mined from labelled rows, and each becomes a voter beside pattern
-voters on shouting and the like. A generative label model (expectation
-maximisation over the voters' answers given a hidden label) estimates every
-voter's accuracy, and from what the label leaves unexplained how voters hang
-together; voters that repeat each other share their weight. A linear classifier
-learns from the posterior labels and scores whole texts.
+Features that lean to toxic rows are mined from labelled rows and make up lexicons by kind (words, beginnings of four
+and of five letters) and by strength. Each lexicon is a voter, and so are the number of a kind's features in a text,
+their absence, and patterns of shouting and the like. A generative label model takes the label as hidden: expectation
+maximisation over the voters' answers estimates what each voter says given either label, and from what the label leaves
+unexplained how voters hang together; voters that repeat each other share their weight. Labels given by hand calibrate
+the voters' tables, as counts beside the model's own; they are no voter, and a row's posterior label comes from its
+votes alone. A linear classifier learns from the posterior labels and scores whole texts.
 
 Labels come only from rows whose crc32(doc_id) modulo 5 is not 0, and at most
 ``SAMPLE`` of them, the smallest by a hash of their id: that is the one bound.
@@ -22,7 +23,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,9 @@ STEMS = (4, 5)
 #: A mined feature occurs in so many toxic rows at least, and its likelihood-ratio statistic exceeds what the best of that many
 #: unrelated features would reach by MARGIN.
 MIN_ROWS, MARGIN = 4, 6.0
-FEATURES, VOTERS = 400, 24
-#: Accuracy taken for labels given by hand.
-TRUST = 0.98
+FEATURES = 400
+#: Strengths that a kind's lexicon is parted into, and how many of its features in a text make further voters.
+BANDS, COUNTS = 4, (2, 4)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = (
@@ -55,7 +56,7 @@ _PATTERNS = (
 def features(text: str | None) -> set[str]:
     """Words as ``=word`` and beginnings of longer words."""
     words = set(_WORD.findall((text or "").lower()))
-    out = {f"={w}" for w in words if len(w) <= 24}
+    out = {f"={w}" for w in words}
     for n in STEMS:
         out.update({w[:n] for w in words if len(w) > n})
     return out
@@ -78,6 +79,8 @@ class Model:
     bias: float = -50.0
     accuracies: dict[str, float] = field(default_factory=dict)
     correlations: list[tuple[str, str, float]] = field(default_factory=list)
+    #: Posterior labels of the rows that it was trained on, in the order they were given.
+    posterior: np.ndarray | None = field(default=None, repr=False)
 
     def __post_init__(self):
         self._words = frozenset(k[1:] for k in self.weights if k[0] == "=")
@@ -94,18 +97,23 @@ class Model:
         return 1 / (1 + math.exp(-total)) if total > -700 else 0.0
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 100, said: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, said: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 from votes in {-1, 0, 1} (0 abstains).
 
-    Returns the posterior, P(vote | label) as (voter, label, vote + 1), the
-    voters' conditional correlations, and the weight that each voter keeps.
-    ``said`` are labels given by hand: one more voter, whose accuracy is TRUST.
+    Returns the posterior, P(vote | label) as (voter, label, vote + 1), the voters' conditional correlations, and the
+    weight that each voter keeps. ``said`` are labels given by hand for the same rows: they are counted into the tables
+    beside the posterior, and are no evidence on a row.
     """
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
 
+    def counted(q):
+        return np.stack([np.einsum("n,nmv->mv", w, hot) + 0.5 for w in (1 - q, q)], axis=1)
+
+    known = 0.0 if said is None else counted(said.astype(float))
+
     def tables(q):
-        out = np.stack([np.einsum("n,nmv->mv", w, hot) + 0.1 for w in (1 - q, q)], axis=1)
+        out = counted(q) + known
         return out / out.sum(axis=2, keepdims=True)
 
     def shared(q, table_):
@@ -117,18 +125,20 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 100, said: np.nda
         np.fill_diagonal(corr, 1.0)
         return corr, 1 / np.where(np.abs(corr) > 0.2, np.clip(corr, 0, None), 0).sum(axis=1)
 
-    # the first posterior is a plain count of votes, in which like voters already share their weight
-    _, keep = shared(np.full(n, prior), np.repeat((hot.mean(axis=0) + 1e-3)[:, None], 2, axis=1))
-    base = math.log(prior / (1 - prior)) + (0.0 if said is None else (2 * said - 1) * math.log(TRUST / (1 - TRUST)))
-    q = 1 / (1 + np.exp(-(2 * votes @ keep + base)))
+    base = math.log(prior / (1 - prior))
+    if said is None:  # the first posterior is a plain count of votes, in which like voters already share their weight
+        _, keep = shared(np.full(n, prior), np.repeat((hot.mean(axis=0) + 1e-3)[:, None], 2, axis=1))
+        q = 1 / (1 + np.exp(-(2 * votes @ keep + base)))
+    else:
+        q = said.astype(float)
     table_ = tables(q)
     for step in range(rounds):
         if step % 5 == 0:
             corr, keep = shared(q, table_)
         odds = np.log(table_[:, 1]) - np.log(table_[:, 0])
-        odds[:, 0], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 2], 0)  # a voter is no worse than chance
-        score = np.einsum("nmv,mv->nm", hot, odds) @ keep + base
-        new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
+        if said is None:  # a voter is no worse than chance
+            odds[:, 0], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 2], 0)
+        new = 1 / (1 + np.exp(-np.clip(np.einsum("nmv,mv->nm", hot, odds) @ keep + base, -50, 50)))
         done = step > 20 and np.abs(new - q).max() < 1e-6
         q = new
         table_ = tables(q)
@@ -206,6 +216,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return _train(examples, np.array([k[0] for k in keys]), prior, {f: float(z[np.searchsorted(ids, zlib.crc32(f.encode()))]) for h, _ in examples for f in h})
 
 
+def voters(x: np.ndarray, names: list[str], marks: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(votes, titles): what lexicons, their counts and absences, and patterns say of each row; ``names`` are the columns of x, strongest first."""
+    votes, titles = [], []
+    for kind, has in [("word", lambda f: f[0] == "=")] + [(f"stem {k}", lambda f, k=k: f[0] != "=" and len(f) == k) for k in STEMS]:
+        columns = [i for i, f in enumerate(names) if has(f)]
+        if not columns:
+            continue
+        for band, part in enumerate(np.array_split(columns, min(BANDS, len(columns)))):
+            votes.append(x[:, part].any(axis=1))
+            titles.append(f"{kind} lexicon {band}")
+        many = x[:, columns].sum(axis=1)
+        for least in COUNTS:
+            votes.append(many >= least)
+            titles.append(f"{kind} {least} times")
+        votes.append(-(many == 0).astype(int))
+        titles.append(f"{kind} none")
+    for j, (title, _) in enumerate(_PATTERNS):
+        votes.append(marks[:, j] > 0)
+        titles.append(title)
+    return np.column_stack(votes).astype(int), titles
+
+
 def _train(examples: list[tuple[set[str], list[int]]], said: np.ndarray, prior: float, strength: dict[str, float]) -> Model:
     names = sorted(strength, key=lambda f: (-strength[f], f))
     column = {f: i for i, f in enumerate(names)}
@@ -213,21 +245,20 @@ def _train(examples: list[tuple[set[str], list[int]]], said: np.ndarray, prior:
     for i, (hits, _) in enumerate(examples):
         x[i, [column[f] for f in hits]] = 1
     marks = np.array([m for _, m in examples], float)
-    # lexicon voters: features dealt out by rank, each votes toxic or abstains; one voter says clean where no lexicon has anything
-    k = min(VOTERS, len(names))
-    lexicons = [x[:, i::k].any(axis=1) for i in range(k)]
-    any_hit = x.any(axis=1)
-    votes = [np.where(v, 1, 0) for v in lexicons] + [np.where(any_hit, 0, -1)] + [np.where(marks[:, j] > 0, 1, 0) for j in range(marks.shape[1])]
-    titles = [f"lexicon {i}" for i in range(k)] + ["nothing found"] + [n for n, _ in _PATTERNS]
-    q, likely, corr, _ = label_model(np.column_stack(votes), prior, said=said)
+    votes, titles = voters(x, names, marks)
+    q, likely, corr, _ = label_model(votes, prior, said)
     w = logistic(np.column_stack([x, marks]), q)
-    accuracy = {t: float(likely[i, 1, 2] * prior / max(1e-9, likely[i, 1, 2] * prior + likely[i, 0, 2] * (1 - prior))) if t != "nothing found" else float(likely[i, 0, 0] * (1 - prior) / max(1e-9, likely[i, 0, 0] * (1 - prior) + likely[i, 1, 0] * prior)) for i, t in enumerate(titles)}
+    # how often a voter that speaks is right
+    share = np.array([1 - prior, prior])
+    spoken = [(likely[i, 0, 0] * share[0] + likely[i, 1, 2] * share[1], sum(likely[i, y, v] * share[y] for y in (0, 1) for v in (0, 2))) for i in range(len(titles))]
+    accuracy = {t: float(right / max(1e-9, all_)) for t, (right, all_) in zip(titles, spoken, strict=True)}
     tied = [(titles[i], titles[j], round(float(corr[i, j]), 3)) for i in range(len(titles)) for j in range(i) if abs(corr[i, j]) > 0.2]
-    return Model({f: float(w[i]) for f, i in column.items()}, [float(v) for v in w[len(names) : -1]], float(w[-1]), accuracy, tied)
+    return Model({f: float(w[i]) for f, i in column.items()}, [float(v) for v in w[len(names) : -1]], float(w[-1]), accuracy, tied, q)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document; a map without shuffle."""
+    model = replace(model, posterior=None)
 
     def make():
         def one(doc_id, text):
@@ -241,7 +272,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    model = fit(docs, labels)
+    model = replace(fit(docs, labels), posterior=None)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -317,6 +317,29 @@ def test_label_model_finds_accuracies():
     assert ((q > 0.5) == y).mean() > 0.88
 
 
+def test_hand_labels_calibrate_and_are_no_votes():
+    r = np.random.default_rng(2)
+    y = (r.random(3000) < 0.2).astype(int)
+    right = (0.95, 0.85, 0.8, 0.7)
+    votes = np.column_stack([np.where(r.random(3000) < p, 2 * y - 1, 1 - 2 * y) * (r.random(3000) < 0.8) for p in right]).astype(int)
+    q, table, _, _ = toxicity.label_model(votes, 0.2, y)
+    for j, p in enumerate(right):
+        assert abs(table[j, 1, 2] / (table[j, 1, 0] + table[j, 1, 2]) - p) < 0.12
+    # rows with equal votes have equal posteriors, whatever was said of them by hand
+    seen = {}
+    for v, x in zip(map(tuple, votes.tolist()), q.tolist(), strict=True):
+        assert abs(seen.setdefault(v, x) - x) < 1e-12
+    assert ((q > 0.5) == y).mean() > 0.9
+
+
+def test_voters_of_lexicons_counts_and_patterns():
+    x = np.array([[1, 1, 0], [0, 0, 1], [0, 0, 0]])
+    votes, titles = toxicity.voters(x, ["=ab", "=cd", "abcd"], np.array([[1, 0, 0, 0, 0]] + [[0] * 5] * 2))
+    said = {t: votes[:, i].tolist() for i, t in enumerate(titles)}
+    assert said["word lexicon 0"] == [1, 0, 0] and said["word 2 times"] == [1, 0, 0] and said["word none"] == [0, -1, -1]
+    assert said["stem 4 lexicon 0"] == [0, 1, 0] and said["stem 4 none"] == [-1, 0, -1] and said["shout"] == [1, 0, 0] and "stem 5 none" not in said
+
+
 def test_hash_of_spans_is_of_code_points():
     text = "😀 a@b.cd"
     assert pii.detect(text) == [(2, 8, "email")]
