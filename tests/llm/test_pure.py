@@ -253,6 +253,58 @@ def test_main_text():
     assert html_text.extract("plain words only", html_text.Scores()) == "plain words only"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="page has-sidebar"><article><h2 class="section-header">Head</h2><p>text of <math>x+1</math> words</article></div>', "Head\n\ntext of x+1 words"),
+    ("<a title=don't>link</a> words here and it's more", "link words here and it's more"),
+    ('<div class="sidebar"><p>only words here</p></div>', "only words here"),
+    ("<form id=aspnet><div><p>all of it is in a form</p></div></form>", "all of it is in a form"),
+    ("<p>hello there you all <b class=ad>x y</b> fine</p><div id=comments>bla bla</div>", "hello there you all\n\nfine"),
+    ("<p>1 < 2 and 3 > 2 <!-- no --> ok</p>", "1 < 2 and 3 > 2 ok"),
+    ('<p>one two one two <a href="x>three four</a> five six seven eight</p>', "one two one two three four five six seven eight"),
+    ("<ARTICLE><P>loud words</P><DIV CLASS='Comment-List'>nice</DIV></ARTICLE><FOOTER>f</FOOTER>", "loud words"),
+    ("<body class='sidebar-left menu'><p>words in the body</p></body>", "words in the body"),
+    ("<p>seen <span hidden>not seen</span> again</p><p style='display: none'>gone</p>", "seen\n\nagain"),
+    ("<table><tr><td>a b c d e f g h<td>b c d e f g h i<tr><td>c d e f g h i j k l</table>", "a b c d e f g h\n\nb c d e f g h i\n\nc d e f g h i j k l"),
+    ("x" * 5 + "<script>if (a < b) '</p>'</script>" + "y", "xxxxxy"),
+])
+def test_pages_that_disagree(page, text):
+    assert html_text.extract(page, html_text.Scores()) == text
+
+
+def test_scan_and_names_each_decide():
+    farm = "<div>" + "".join(f"<a href=/{i}>go</a>" for i in range(30)) + "</div>"
+    page = f"{farm}<p>{'some words of the story ' * 5}</p><div class=advert>buy now</div><p>{'and some more words ' * 5}</p>{farm}"
+    for scores in (html_text.Scores(), learned()):
+        assert html_text.read(page, scores).split("\n\n") == [("some words of the story " * 5).strip(), ("and some more words " * 5).strip()]
+        assert "go" in html_text.read(page, scores, scan=False) and "buy now" in html_text.read(page, scores, html_text.MEANT)
+
+
+def test_names_are_learned():
+    page = lambda i: f"<div class=teaser>read this too, it is new</div><div class=sidebar><article><p>words of the story {i}</p></article></div>"
+    counts = {}
+    for i in range(40):
+        for s, n, inside in html_text.label(page(i)):
+            counts[s, inside] = counts.get((s, inside), 0) + n
+    scores = html_text.learn(counts)
+    assert scores.names["teaser"] < html_text.OUT < html_text.Scores().of_name("teaser")
+    # here the story is in what is called a sidebar
+    assert scores.names["sidebar"] > html_text.OUT > html_text.Scores().of_name("sidebar")
+    assert html_text.extract("<div class=teaser>read on</div><div class=sidebar><p>a story</p></div>", scores) == "a story"
+
+
+@pytest.mark.parametrize("unit", ["<font>", "<div>", '<a title="x> ', "<a b='c ", "<p>", "<", "<!--", "</div>", "<span class=ad>", '<li class="a', "a=\"", "<title>", "<div class=ad><b>"])
+def test_parsing_time_grows_with_the_page(unit):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        html_text.extract(unit * n, html_text.Scores())
+        return time.process_time() - start
+
+    took(100)
+    assert took(40_000) < 2.5 * max(took(20_000), 0.1) + 0.2
+
+
 def test_best_region_against_all_regions():
     r = random.Random(6)
     for _ in range(500):
