@@ -1,19 +1,19 @@
 """Secret scan by character Markov models, with DataFrame functions only.
 
-Base patterns find assignments, access keys and long hex strings. Beyond them,
-strings that could be keys are judged by two first-order Markov models over
-characters, one of random strings and one of ordinary identifiers: the log of
-their likelihood ratio, summed over the string's character pairs, decides. Both
-models are counted from labelled samples: hashes written in the usual alphabets
-are random, words of a bounded sample of documents and the names of this
-platform's functions are ordinary.
-
-Offsets come from the text's split at the pattern: what lies between the
-matches and the matches themselves, added up.
-
-Defined results: a null or empty text has no spans; a text of any length is
-read whole; rows are independent of each other; with no documents the ordinary
-model rests on function names alone; further columns are not touched.
+Base patterns find assignments, access keys and long hex strings. Beyond them, every run of ``SHORTEST`` key characters
+or more, of whatever kind, is judged by two first-order Markov models over characters, one of random strings and one of
+ordinary identifiers: the log of their likelihood ratio, summed over the string's character pairs, decides. Both models
+are counted from labelled samples: hashes written in the usual alphabets are random; words of a bounded sample of
+documents, without the runs that the base patterns take, numbers, and the names of this platform's functions are
+ordinary.
+
+Offsets come from the text's split at the pattern: what lies between the matches and the matches themselves, added up in
+blocks, in time linear in their number for all but enormous numbers; only texts that hold what is judged random need them.
+Runs that a base span takes are left to it: what an assignment holds is matched with it, and the other base patterns lie
+within one run.
+
+Defined results: a null or empty text has no spans; a text of any length is read whole; rows are independent of each
+other; with no documents the ordinary model rests on function names alone; further columns are not touched.
 """
 
 from __future__ import annotations
@@ -29,8 +29,14 @@ ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(
 # The whole of a run that is long enough: shorter runs are dropped without a second try, so the length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: What the models judge: a run of key characters that holds a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: What the models judge: a whole run of key characters; shorter ones don't hold enough evidence.
+SHORTEST = 10
+_KEY = "[A-Za-z0-9+/_-]"
+#: An assignment, or else a run that doesn't reach into one (group 2).
+JUDGED = (
+    rf"((?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+)"
+    rf"|(?<![\p{{L}}\p{{N}}+/_-])(?={_KEY}{{{SHORTEST}}})(?!{_KEY}*?(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{{6}})({_KEY}++(?![\p{{L}}\p{{N}}])={{0,2}})"
+)
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 KINDS = ("assign", "access", "hex", "random")
 
@@ -49,10 +55,14 @@ def samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     alphabets = (digest, F.upper(digest), F.base64(raw), F.translate(F.base64(raw), "+/", "-_"), F.conv(F.substring(digest, 1, 15), 16, 36), F.regexp_replace(F.base64(raw), "[^A-Za-z0-9]", ""))
     random = spark.range(RANDOM).select(F.explode(F.array(*alphabets)).alias("s")).select(F.lit(1).alias("random"), "s")
     sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", most).where(F.col("text").isNotNull())
-    words = sample.select(F.explode(F.expr(r"regexp_extract_all(text, '[A-Za-z]+(?:[_-][A-Za-z]+)*[0-9]?(?![0-9A-Za-z])', 0)")).alias("s")).where(F.length("s").between(4, 64))
+    words = sample.select(F.explode(F.expr(r"regexp_extract_all(text, '(?<![\\p{L}\\p{N}+/_-])[A-Za-z0-9+/_-]{4,64}+(?![\\p{L}\\p{N}+/_-])', 0)")).alias("s"))
+    # what mixes letters with digits may be a key; words with a digit at most and plain numbers are ordinary, whatever they are
+    words = words.where(~F.col("s").rlike(HEX) & ~F.col("s").rlike(ACCESS) & (~F.col("s").rlike("[0-9][^0-9]*[0-9]") | F.col("s").rlike("^[0-9+/_-]+$")))
     names = sorted(n for n in dir(F) if not n.startswith("__"))
     named = spark.range(1).select(F.explode(F.split(F.lit(",".join(names)), ",")).alias("s"))
-    return random.unionByName(words.unionByName(named).select(F.lit(0).alias("random"), "s"))
+    # numbers are no keys, whatever their digits
+    numbers = spark.range(RANDOM).select(F.conv(F.substring(digest, 1, 13), 16, 10).alias("s"))
+    return random.unionByName(words.unionByName(named).unionByName(numbers).select(F.lit(0).alias("random"), "s"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -97,26 +107,49 @@ def ratio(s: Column, table_: list[float]) -> Column:
 
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+#: Matches that are added up one by one; sums of such blocks are added up in turn.
+_BLOCK = 64
 
 
-def spans(text: str, pattern: str, kind: int, group: int = 0) -> Column:
-    """Matches with code-point offsets; ``value`` is the match's group."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def spans(text: str, pattern: str, kind: int, group: int = 0, flags: Column | None = None) -> Column:
+    """Matches with code-point offsets; ``value`` is the match's group, or null for a match that has none of it. With flags, one for each match, only those that are set."""
+    quoted = _quoted(pattern)
     gaps = F.transform(F.expr(f"split({text}, '{quoted}', -1)"), F.length)
     hits = F.expr(f"regexp_extract_all({text}, '{quoted}', 0)")
     values = F.expr(f"regexp_extract_all({text}, '{quoted}', {group})") if group else hits
-    rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
-    # the last gap follows the last match
-    rows = F.slice(rows, F.lit(1), F.size(hits))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(_SPAN).alias("found"))
+    columns = [gaps.alias("gap"), F.transform(hits, F.length).alias("size"), values.alias("value")] + ([] if flags is None else [flags.alias("flag")])
+    zero, size = F.lit(0).cast("long"), F.lit(_BLOCK)
+    width = lambda t, x: t + x["gap"] + x["size"]
 
-    def step(acc, x):
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["hit"])
-        one = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"), x["value"].alias("value")))
-        return F.struct(b.alias("at"), F.concat(F.coalesce(acc["found"], F.array().cast(_SPAN)), one).alias("found"))
+    def placed(blocks):
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, width))
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("bases"))
+        bases = F.aggregate(sums, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")))["bases"]
 
-    return F.coalesce(F.aggregate(rows, start, step)["found"], F.array().cast(_SPAN))
+        def block(b):
+            one = lambda x, i: _let(b["base"] + F.aggregate(F.slice(b["rows"], F.lit(1), i), zero, width) + x["gap"], lambda a: F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + x["size"]).alias("end"), x["value"].alias("value"), *([] if flags is None else [x["flag"].alias("flag")])))
+            return F.transform(b["rows"], one)
+
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("rows"), bases.alias("base")), block))
+
+    def blocked(rows):
+        return _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / size).cast("int")), lambda k: F.slice(rows, k * size + 1, size)), placed)
+
+    # the last gap follows the last match
+    zipped = F.filter(F.arrays_zip(*columns), lambda x: x["size"].isNotNull())
+    found = F.when(F.size(hits) > 0, _let(zipped, blocked))
+    if flags is not None:
+        found = F.transform(F.filter(found, lambda s: s["flag"]), lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"]))
+    return F.coalesce(found.cast(_SPAN), F.array().cast(_SPAN))
 
 
 def found(docs: DataFrame, table_: list[float]) -> DataFrame:
@@ -128,17 +161,16 @@ def found(docs: DataFrame, table_: list[float]) -> DataFrame:
     assign = F.when(text.rlike(ASSIGN), F.filter(spans("text", ASSIGN, 0, 1), lambda s: F.length(s["value"]) >= 6)).otherwise(none)
     access = F.when(text.contains("AKIA") & text.rlike(ACCESS), spans("text", ACCESS, 1)).otherwise(none)
     hexes = F.when(text.rlike(HEX), spans("text", HEX, 2)).otherwise(none)
-    maybe = F.when(text.rlike("[0-9]") & text.rlike(CANDIDATE), spans("text", CANDIDATE, 3)).otherwise(none)
-    rows = rows.select("doc_id", F.array_sort(F.concat(assign, access, hexes)).alias("base"), maybe.alias("maybe"))
 
     def random(s):
-        score = ratio(s["value"], table_)
-        return ~s["value"].rlike(UUID) & (score >= LEAST) & (score >= LEAST_MEAN * (F.length(s["value"]) - 1))
-
-    # judge only what no base span touches
-    new = F.filter("maybe", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.select("doc_id", "base", F.when(F.size("maybe") > 0, new).otherwise(none).alias("maybe"))
-    return rows.select("doc_id", "base", F.when(F.size("maybe") > 0, F.filter("maybe", random)).otherwise(none).alias("more"))
+        score = ratio(s, table_)
+        enough = lambda x: (x >= LEAST) & (x >= LEAST_MEAN * (F.length(s) - 1))
+        return F.when(F.length(F.coalesce(s, F.lit(""))) < SHORTEST, False).otherwise(_let(score, enough) & ~s.rlike(HEX) & ~s.rlike(ACCESS) & ~s.rlike(UUID))
+
+    flags = F.transform(F.expr(f"regexp_extract_all(text, '{_quoted(JUDGED)}', 2)"), random)
+    rows = rows.select("doc_id", "text", F.array_sort(F.concat(assign, access, hexes)).alias("base"), flags.alias("flags"))
+    more = F.when(F.exists("flags", lambda x: x), spans("text", JUDGED, 3, 2, F.col("flags"))).otherwise(none)
+    return rows.select("doc_id", "base", more.alias("more"))
 
 
 def written(spans_: Column) -> Column:
