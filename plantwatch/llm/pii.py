@@ -6,8 +6,11 @@ of which keeps for every character it emits the source span that it stands for,
 runs the same detectors on the result, and maps what they find back to spans of
 the source.
 
+The patterns' repetition limits are those of names on the net: 63 characters in
+a label, 127 labels, 64 characters before the @ (and so at most 32 of its parts).
+
 Defined results: a null or empty text has no spans; a text of any length is read
-whole, in time linear in its length; rows are independent of each other, so
+whole, in time linear in its length up to a sort of what it holds; rows are independent of each other, so
 repeated rows give repeated results; further input columns are not touched.
 """
 
@@ -16,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,10 +107,10 @@ _SPELLED_PART = re.compile(rf"plus[\x20-]{{1,2}}|{_NAMES}", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-zà-ÿ]+|[0-9]+")
 _BRACKET_AT = re.compile(r"[\x20]{0,3}[\[({<][\x20]{0,2}(?:at|@|arroba|chez)[\x20]{0,2}[\])}>][\x20]{0,3}", re.IGNORECASE)
 _BRACKET_DOT = re.compile(r"[\x20]{0,3}[\[({<][\x20]{0,2}(?:dot|punkt|punto|point|\.)[\x20]{0,2}[\])}>][\x20]{0,3}", re.IGNORECASE)
-_BARE = re.compile(r"(?<=[A-Za-z0-9_%+-])[\x20_]{1,3}(?:at|arroba)[\x20_]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}[A-Za-z0-9-]{1,63}){1,6})", re.IGNORECASE)
+_BARE = re.compile(r"(?<=[A-Za-z0-9_%+-])[\x20_]{1,3}(?:at|arroba)[\x20_]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}[A-Za-z0-9-]{1,63}))", re.IGNORECASE)
 #: Without spelled dots the local part must look like one: see _looks_local.
-_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])[\x20]{1,2}(?:at|AT)[\x20]{1,2}(?=[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,4}\.[a-z]{2,12}(?![A-Za-z0-9]))")
-_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[\x20]{1,2}@[\x20]{0,2}|@[\x20]{1,2})(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2})")
+_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])[\x20]{1,2}(?:at|AT)[\x20]{1,2}(?=(?:[a-z0-9-]{1,63}\.){1,126}[a-z]{2,63}(?![A-Za-z0-9]))")
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[\x20]{1,2}@[\x20]{0,2}|@[\x20]{1,2})(?=(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2})")
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}(?=[A-Za-z0-9])", re.IGNORECASE)
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _LOCAL_SIGN = re.compile(r"[0-9_%+]|[A-Za-z]\.[A-Za-z]")
@@ -213,18 +218,31 @@ def normalise(text: str) -> Aligned:
     return out
 
 
-_TOUCHED = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?:\.|[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3})[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
-_BEFORE = re.compile(r"(?:[A-Za-z0-9%+-]{1,63}[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}){1,4}(?=[A-Za-z0-9._%+-]{1,63}@)", re.IGNORECASE)
+_TOUCHED = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?:\.|[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3})[A-Za-z0-9-]{1,63}){1,126}", re.IGNORECASE)
+_BEFORE = re.compile(r"(?:[A-Za-z0-9%+-]{1,64}[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}){1,31}(?=[A-Za-z0-9._%+-]{1,64}@)", re.IGNORECASE)
 _QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[\x20_]{1,3}(?:dot|punkt|punto|point)[\x20_]{1,3}[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 
 
+class _Within:
+    """Whether a span lies in one of many: in the one that reaches farthest of those that begin before it."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and self.reach[k] >= b
+
+
 def _dots(at: Aligned) -> Aligned:
     """Spelled dots count only inside an address: after an @, before one, or in a dotted quad."""
     places = [m.span() for p in (_TOUCHED, _BEFORE, _QUAD) for m in p.finditer(at.text)]
     if not places:
         return at
-    inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in places)
-    return at.rewrite(_BARE_DOT, lambda m: "." if inside(m) else m[0])
+    inside = _Within(places)
+    return at.rewrite(_BARE_DOT, lambda m: "." if inside(*m.span()) else m[0])
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -235,10 +253,10 @@ def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     plain = normalise(text)
     if plain.text == text:
         return base, []
-    more, seen = [], {k: [s for s in base if s[2] == k] for k in KINDS}
+    more, seen = [], {k: _Within((a, b) for a, b, kind in base if kind == k) for k in KINDS}
     for a, b, kind in detect(plain.text):
         a, b = plain.span(a, b)
-        if not any(x <= a and b <= y for x, y, _ in seen[kind]):
+        if not seen[kind](a, b):
             more.append((a, b, kind))
     return base, more
 

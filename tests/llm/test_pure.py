@@ -66,6 +66,25 @@ def test_at_disguises_without_digits():
         assert pii.find(text) == ([], []), text
 
 
+@pytest.mark.parametrize("unit", ["jane.doe at example.com, ", "john dot smith at mail dot example dot org; ", "a.b@c.de ", "jоhn@mail.example.com ", "10 dot 0 dot 0 dot 1 ", "one two three four five, ", "+1 (269) 555-3296 ", "4111 1111 1111 1111; ", "dot ", " at ", "a-", "x at y.", "mail [at] ", "1 2 one ", "a.", "a@", "@", "一"])
+def test_time_grows_with_the_matches(unit):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        pii.find("é ｱ " + unit * n)
+        return time.process_time() - start
+
+    took(100)
+    assert took(32_000) < 8 * max(took(8_000), 0.05) + 0.2  # four times as much; squares would take sixteen
+
+
+def test_disguises_of_any_depth():
+    host = ".".join(["a1"] * 40) + ".example.com"
+    assert [k for _, _, k in pii.find(f"jane.doe at {host} now")[1]] == ["email"]
+    assert [k for _, _, k in pii.find(f"jane at {host.replace('.', ' dot ')} now")[1]] == ["email"]
+
+
 def test_long_text_is_linear():
     assert pii.find("1" * 200_000)[0] == [] and pii.find("a." * 100_000)[0] == []
 
@@ -302,7 +321,7 @@ def test_parsing_time_grows_with_the_page(unit):
         return time.process_time() - start
 
     took(100)
-    assert took(40_000) < 2.5 * max(took(20_000), 0.1) + 0.2
+    assert took(40_000) < 8 * max(took(10_000), 0.05) + 0.2  # four times as much; squares would take sixteen
 
 
 def test_best_region_against_all_regions():
