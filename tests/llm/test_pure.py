@@ -343,9 +343,19 @@ def test_loser_tree():
 
 
 def test_records_are_walked_by_length():
+    import gzip
+
     body = "x\r\n\r\nWARC/1.1\r\né".encode()
-    data = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in (body, b"", body))
-    assert [b for _, _, b in warc.parse(data)] == [body, b"", body]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in (body, b"", body * 50))
+    for size in (1, 2, 3, 7, 10_000):
+        found = list(warc.parse(data[i : i + size] for i in range(0, len(data), size)))
+        assert [b for _, _, b in found] == [body, b"", body * 50] and all(data[at:].startswith(b"WARC/1.1\r\n") for at, *_ in found)
+    packed = memoryview(gzip.compress(data) + gzip.compress(data))
+    for piece in (1, 5, 1 << 20):
+        assert b"".join(warc.unpacked(packed, piece)) == data * 2
+    for broken in (data[:-1], data[:30], b"x" + data):
+        with pytest.raises(ValueError):
+            list(warc.parse([broken]))
     assert warc.url_key("http://www.a.example.com/P?q=1#x") == "com,example,a)/p?q=1" and warc.url_key("") == ")/"
 
 

@@ -362,22 +362,33 @@ def test_scripts_without_spaces(spark):
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 2000)
     rows = [(i, f"http://www.h{i % 3}.com/a?b={i // 7}" if i % 11 else None, None if i == 5 else "" if i == 6 else "short" if i in (7, 8) else "x\r\n\r\nWARC/1.1\r\né" * 20 if i % 4 == 0 else f"p{i} " * 50, "extra") for i in range(40)]
-    pages = spark.createDataFrame([*rows, (None, "u", "h", "e")], "page_id long, url string, html string, payload string")
+    repeated = [(100, "http://www.h1.com/", "again " * 40, "e")] * 30
+    pages = spark.createDataFrame([*rows, *repeated, (None, "u", "h" * 200, "e"), (None, "u", "x\r\n\r\nWARC/1.1\r\né" * 20, None)], "page_id long, url string, html string, payload string")
+    want, first = {None: {(200, hashlib.sha256(b"h" * 200).hexdigest(), "response", None)}}, {}
+    for i, _, h, _ in [*rows, *repeated, (None, "", rows[4][2], "")]:
+        b = (h or "").encode()
+        d = hashlib.sha256(b).hexdigest()
+        again = i is not None and len(b) >= 100 and first.get(d, i) != i
+        want.setdefault(i, set()).add((len(b), d, "revisit" if again else "response", first[d] if again else None))
+        first.setdefault(d, i)
     for small in (warc.SMALL, 0):
         monkeypatch.setattr(warc, "SMALL", small)
         path = warc.work_path(spark, "t")
         warc.write_archives(pages, path)
-        got = warc.merge_index(warc.capture_runs(spark, path), 7).collect()
-        want, first = {}, {}
-        for i, _, h, _ in rows:
-            b = (h or "").encode()
-            d = hashlib.sha256(b).hexdigest()
-            again = len(b) >= 100 and d in first
-            want[i] = (len(b), d, "revisit" if again else "response", first[d] if again else None)
-            first.setdefault(d, i)
-        assert {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got} == want
-        order = [(x.url_key, x.ts, x.page_id) for x in sorted(got, key=lambda x: (x.range, x.place))]
-        assert order == sorted(order) and all(x.verified for x in got) and len({x.archive for x in got}) > 1
+        for per_range in (7, 1000):
+            got = warc.merge_index(warc.capture_runs(spark, path), per_range).collect()
+            assert len(got) == 72
+            found = {}
+            for x in got:
+                found.setdefault(x.page_id, set()).add((x.payload_bytes, x.payload_digest, x.record_type, x.refers_to))
+            assert found == want
+            order = [(x.url_key, x.ts, -1 if x.page_id is None else x.page_id) for x in sorted(got, key=lambda x: (x.range, x.place))]
+            assert order == sorted(order) and all(x.verified for x in got) and len({x.archive for x in got}) > 1
+            assert per_range == 1000 or max(sum(y.range == x.range for y in got) for x in got) < 36  # a page repeated 30 times spans ranges
+            held = {}
+            for x in got:
+                held[x.archive] = held.get(x.archive, 0) + x.length
+            assert max(held.values()) < 2000 + 1500
     path = warc.work_path(spark, "t")
     warc.write_archives(pages.where("false"), path)
     assert warc.merge_index(warc.capture_runs(spark, path)).count() == 0
