@@ -37,6 +37,8 @@ SEED = 42
 BUCKET = 20_000
 #: Dropped documents whose ids are few enough to be sent to every task; more are joined by a shuffle.
 SMALL_IDS = 200_000
+#: Distinct fingerprints that one task deals out to the tables.
+DEALT = 100_000
 _BLOCK = 1 << 15
 
 
@@ -155,7 +157,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # cut, so that a node of very many links is split in the join
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # every edge now points from the larger to the smaller end
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -171,8 +174,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def clusters(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for each document; a node is the smallest doc_id of a fingerprint."""
     found = cut(fingerprints(docs))
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    edges = links(nodes.select("fp"), radius, bucket)
+    nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    # each fingerprint becomes a row of every table, so they are spread first
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // DEALT))
+    edges = links(nodes.select("fp").repartition(tasks), radius, bucket)
     name = lambda c: nodes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     edges = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     roots = components(edges)
