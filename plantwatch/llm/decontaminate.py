@@ -13,11 +13,16 @@ five words is met. An item is laid along where such a run begins, once for each
 run. An item with hardly a word that is no placeholder would be met by any
 list of numbers or names, so its slots have to hold the very same values.
 
+A text of fewer than five words is one window of all of them, so an item as short
+leaks where a document holds it and nothing else. A word that is taken for a name
+on one side only (as in capitals throughout) still is the word it is: words are
+equal as templates or as they are written.
+
 The benchmark's windows are broadcast after their number has been checked;
-a larger benchmark is joined by a shuffle, where hot windows are split at run time.
+a larger benchmark is joined by a shuffle of hashes and places, where hot windows
+are split at run time, and only documents that met fetch their words.
 
-Defined results: null and empty texts match nothing, nor do benchmark items of
-fewer than five words; repeated rows of a document are one document; repeated
+Defined results: null and empty texts match nothing, nor do texts without a word; repeated rows of a document are one document; repeated
 benchmark items are reported each; texts of any length are read whole; empty
 tables give no rows; further columns are not touched.
 """
@@ -34,8 +39,9 @@ WIDTH = 5
 COVERAGE = 0.8
 #: Words in an item that are no placeholders, at least; else it says too little without its values.
 LITERALS = 3
-#: Benchmark windows, and characters of its texts, that are small enough to be sent to every task.
-SMALL, SMALL_CHARS = 2_000_000, 50_000_000
+#: Benchmark windows, and characters of its texts, that are small enough to be sent to every task: some 60 bytes for each
+#: window, and about ten for each character, as its words are held in two arrays; 30 MB and 80 MB at most.
+SMALL, SMALL_CHARS = 500_000, 8_000_000
 #: Leaking documents whose ids are few enough to be sent to every task.
 SMALL_IDS = 200_000
 
@@ -66,30 +72,36 @@ def template(words: Column) -> Column:
 
 
 def _windows(rows: DataFrame, words: str, at: str) -> DataFrame:
-    """The rows with a row for each window, its place ``at`` and its ``hash``; a row without windows has one at null.
+    """The rows with a row for each window, its place ``at`` and its ``hash``; fewer words than a window make one of all.
 
     No lambdas and no inferred filter: all of it runs in compiled code, and a text is neither copied for each of its
     windows nor worked out twice.
     """
-    last = F.size(words) - WIDTH
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
-    dealt = rows.select("*", F.explode_outer(starts).alias(at))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0)))
+    dealt = rows.select("*", F.explode(starts).alias(at))
     return dealt.withColumn("hash", F.xxhash64(*[F.get(words, F.col(at) + i) for i in range(WIDTH)]))
 
 
+def _words(rows: DataFrame, key: str, template_as: str, raw_as: str) -> DataFrame:
+    """(key, template words, words as written), each made once, of texts with a word."""
+    said = rows.where(F.col(key).isNotNull()).select(key, plain(F.col("text")).alias("said")).where("said <> ''")
+    return said.select(key, F.split(template(F.col("said")), " ").alias(template_as), F.split(F.translate("said", "\x01", ""), " ").alias(raw_as))
+
+
 def benchmark_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, item, raw) with word arrays, and (item_key, place, hash, before) of all their windows; ``before`` is the word before."""
-    words = benchmark.where("item_id is not null").select("item_id", plain(F.col("text")).alias("raw"))
-    items = words.select("item_id", F.split(template(F.col("raw")), " ").alias("item"), F.split("raw", " ").alias("raw")).where(F.size("item") >= WIDTH)
-    items = cut(items.distinct().withColumn("item_key", F.xxhash64("item_id", F.concat_ws(" ", "raw"))))
+    items = _words(benchmark.select("item_id", "text"), "item_id", "item", "raw")
+    items = cut(items.distinct().withColumn("item_key", F.xxhash64("item_id", F.concat_ws(" ", "item"), F.concat_ws(" ", "raw"))))
     windows = _windows(items.select("item_key", "item"), "item", "place")
     return items, cut(windows.select("item_key", "place", "hash", F.get("item", F.col("place") - 1).alias("before")))
 
 
-def _covered(here: Column, item: Column) -> Column:
-    """Places of the item's windows that the words laid along it hold too."""
-    same = F.zip_with(here, item, lambda a, b: a.eqNullSafe(b))
-    return F.filter(F.sequence(F.lit(1), F.size(item) - WIDTH + 1), lambda i: F.forall(F.slice(same, i, WIDTH), lambda x: x))
+def _covered(here: Column, item: Column, said: Column, raw: Column) -> Column:
+    """Places of the item's windows that the words laid along it hold too, as templates or as written."""
+    same = F.zip_with(F.arrays_zip(here.alias("t"), said.alias("w")), F.arrays_zip(item.alias("t"), raw.alias("w")), lambda a, b: a["t"].eqNullSafe(b["t"]) | a["w"].eqNullSafe(b["w"]))
+    width = F.least(F.size(item), F.lit(WIDTH))
+    # a short item has to be the whole document, which is what a window of fewer words says
+    return F.filter(F.sequence(F.lit(1), F.size(item) - width + 1), lambda i: F.forall(F.slice(same, i, width), lambda x: x))
 
 
 def _consistent(item: Column, raw: Column, here: Column, said: Column) -> Column:
@@ -108,26 +120,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     items, windows = benchmark_tables(benchmark)
     sizes = items.agg(F.sum(F.length(F.concat_ws(" ", "raw")))).first()[0] or 0
     small = windows.count() <= SMALL and sizes <= SMALL_CHARS
-    said = docs.where("doc_id is not null and text is not null").select("doc_id", plain(F.col("text")).alias("said"))
-    words = said.select("doc_id", "said", F.split(template(F.col("said")), " ").alias("words"))
+    words = _words(docs.select("doc_id", "text"), "doc_id", "words", "said")
     place = F.col("k") - F.col("place")
     # where the words before are equal too, the windows before have met at the same place
     begins = F.col("before").isNull() | F.col("said_before").isNull() | (F.col("before") != F.col("said_before"))
     if small:  # one pass: a row that meets nothing ends where it was dealt out, and the words of one that does are at hand
         met = _windows(words, "words", "k").join(F.broadcast(windows), "hash").withColumn("said_before", F.get("words", F.col("k") - 1)).where(begins).withColumn("at", place).drop("hash", "k", "place", "before", "said_before").join(F.broadcast(items), "item_key")
-    else:  # only hashes are shuffled; what met fetches its document's words again
+    else:  # hashes and places are shuffled; then the items, and last the words of the documents that met
         words = words.withColumn("text_key", F.xxhash64("said"))
-        dealt = _windows(words, "words", "k").where("k is not null").select("doc_id", "text_key", "k", "hash")
-        places = dealt.join(windows.hint("merge"), "hash").select("doc_id", "text_key", "item_key", place.alias("at")).distinct()
-        met = places.join(words, ["doc_id", "text_key"]).join(items, "item_key")
+        dealt = _windows(words, "words", "k").select("doc_id", "text_key", "k", "hash")
+        places = cut(dealt.join(windows.hint("merge"), "hash").select("doc_id", "text_key", "item_key", place.alias("at")).distinct())
+        ids = cut(places.select("doc_id").distinct())
+        ids = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+        met = places.join(items, "item_key").join(words.join(ids, "doc_id", "left_semi"), ["doc_id", "text_key"])
     # the item may begin before the document does, or end after it
     skip = F.greatest(F.lit(0), -F.col("at"))
     along = lambda a: F.concat(F.array_repeat(F.lit(""), skip), F.slice(a, F.greatest(F.lit(0), F.col("at")) + 1, F.size("item") - skip))
-    laid = met.select("doc_id", "item_key", "item_id", "item", "raw", "at", along(F.col("words")).alias("here"), along(F.split("said", " ")).alias("said"))
-    judged = laid.select("doc_id", "item_key", "item_id", "at", F.size("item").alias("n"), _covered(F.col("here"), F.col("item")).alias("places"), _consistent(F.col("item"), F.col("raw"), F.col("here"), F.col("said")).alias("fits"))
+    laid = met.select("doc_id", "item_key", "item_id", "item", "raw", "at", along(F.col("words")).alias("here"), along(F.col("said")).alias("said"))
+    judged = laid.select("doc_id", "item_key", "item_id", "at", F.size("item").alias("n"), _covered(F.col("here"), F.col("item"), F.col("said"), F.col("raw")).alias("places"), _consistent(F.col("item"), F.col("raw"), F.col("here"), F.col("said")).alias("fits"))
     # one item may be met in parts that edits have shifted: their places are put together
     whole = judged.where("fits").groupBy("doc_id", "item_key").agg(F.first("item_id").alias("item_id"), F.first("n").alias("n"), F.min("at").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
-    out = whole.select("doc_id", "item_id", (F.col("n") - WIDTH + 1).cast("long").alias("n_windows"), F.size("places").cast("long").alias("covered"), F.greatest(F.col("first_word"), F.lit(0)).cast("long").alias("first_word"))
+    out = whole.select("doc_id", "item_id", F.greatest(F.col("n") - WIDTH + 1, F.lit(1)).cast("long").alias("n_windows"), F.size("places").cast("long").alias("covered"), F.greatest(F.col("first_word"), F.lit(0)).cast("long").alias("first_word"))
     return out.withColumn("coverage", F.col("covered") / F.col("n_windows")).where(F.col("coverage") >= coverage).distinct()
 
 

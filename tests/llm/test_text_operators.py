@@ -161,7 +161,7 @@ def test_leaks(spark, docs, none):
     ]
     more = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs.select("doc_id", "text").unionByName(more), bench).collect()}
-    assert got == {(20, 1), (1, 5), (2, 5), (8, 5)} | ({(22, 1)} & got)
+    assert got == {(20, 1), (22, 1), (1, 5), (2, 5), (8, 5)}
     empty = bench.where("false")
     assert decontaminate.leaks(docs, empty).count() == 0 and decontaminate.leaks(none, bench).count() == 0
     assert ids(decontaminate.clean(docs, bench)) == [3, 4, 5, 6, 9, 10, None] and decontaminate.clean(docs, empty).count() == len(ROWS)
@@ -187,6 +187,63 @@ def test_leaks_at_every_offset_and_of_slots(spark, monkeypatch, small):
     assert [r.item_id for r in decontaminate.leaks(own, bench).collect()] == [2]
 
 
+def brute_leaks(docs, items):
+    """Every item laid along every place of every document, word by word."""
+    split = lambda rows, key: [(r[0], r.t, r.w) for r in decontaminate._words(rows, key, "t", "w").distinct().collect()]
+    out = set()
+    for item_id, item, raw in split(items, "item_id"):
+        n, width = len(item), min(len(item), decontaminate.WIDTH)
+        for doc_id, words, said in split(docs, "doc_id"):
+            held = set()
+            if n < decontaminate.WIDTH and n != len(words):
+                continue
+            for at in range(-n + 1, len(words)):
+                here = [words[at + i] if 0 <= at + i < len(words) else None for i in range(n)]
+                spoken = [said[at + i] if 0 <= at + i < len(words) else None for i in range(n)]
+                if not any(here[i : i + width] == item[i : i + width] for i in range(n - width + 1)):
+                    continue
+                slots = [(item[i], raw[i], spoken[i]) for i in range(n) if item[i][0] == "@" and item[i] == here[i]]
+                plain = sum(w[0] != "@" for w in item) >= decontaminate.LITERALS
+                if len({s[:2] for s in slots}) != len(set(slots)) or not plain and any(r != s for _, r, s in slots):
+                    continue
+                same = [here[i] == item[i] or spoken[i] == raw[i] for i in range(n)]
+                held |= {i for i in range(n - width + 1) if all(same[i : i + width])}
+            if len(held) >= decontaminate.COVERAGE * (n - width + 1):
+                out.add((doc_id, item_id))
+    return out
+
+
+@pytest.mark.parametrize("small", [decontaminate.SMALL, 0])
+def test_leaks_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
+    r = random.Random(21)
+    parts = ["Anna", "Tom", "12", "7", "km", "kg", "the", "river", "has", "how", "many", "stones", "does", "carry", "in", "hours", "and", "TOM", "anna", "3.5"]
+    items = [(i, " ".join(r.choice(parts) for _ in range(r.choice([1, 3, 4, 5, 6, 9, 14, 30])))) for i in range(25)] + [(100, None), (101, ""), (102, "?!")]
+    docs = []
+    for i in range(120):
+        text = r.choice(items[:25])[1]
+        if i % 3 == 1:
+            text = text.replace("12", "15").replace("Anna", "Peter")
+        if i % 5 == 2:
+            text = text.upper()
+        if i % 7 == 3:
+            words = text.split()
+            words[r.randrange(len(words))] = "changed"
+            text = " ".join(words)
+        if i % 4:
+            text = " ".join(r.choice(parts) for _ in range(r.randint(0, 8))) + " " + text + " " + " ".join(r.choice(parts) for _ in range(r.randint(0, 8)))
+        docs.append((i, text))
+    df, bench = spark.createDataFrame([*docs, (500, None), (501, "")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()}
+    assert got == brute_leaks(df, bench) and len(got) > 60
+
+
+def test_short_items_leak_as_whole_documents(spark):
+    bench = spark.createDataFrame([(1, "short one"), (2, "Who wrote Hamlet?")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "Short one!"), (2, "a short one"), (3, "who wrote Hamlet"), (4, "who wrote Hamlet and when was that")], "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()} == {(1, 1), (3, 2)}
+
+
 def test_leaks_of_rows_without_an_id(spark):
     item = "what makes the rivers flow north in the spring of a dry year"
     rows = [(None, f"so {item} and more", "a"), (None, "nothing of that kind stands in here", "b"), (None, None, "c"), (1, f"so {item} and more", "d"), (2, "nothing of that kind stands in here", "e")]
