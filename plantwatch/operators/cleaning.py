@@ -53,10 +53,10 @@ def fill(df: DataFrame, columns: list[str], method: str, values: DataFrame | Non
         found = values.select(by, *[F.col(f"{x}_med").alias(f"_{x}") for x in columns]) if values is not None else df.groupBy(by).agg(*[F.percentile(F.col(x), 0.5).alias(f"_{x}") for x in columns])
         met = df.join(found, by, "left")
         return met.withColumns({x: F.coalesce(F.col(x), F.col(f"_{x}")) for x in columns}).drop(*[f"_{x}" for x in columns])
-    order = W.partitionBy(by).orderBy(ts)
-    before, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
     if method in ("ffill", "bfill"):
-        return df.withColumns({x: F.last(x, True).over(before) if method == "ffill" else F.first(x, True).over(after) for x in columns})
+        # what comes after is what came before in the other order, in a frame that only grows
+        passed = W.partitionBy(by).orderBy(ts if method == "ffill" else F.desc(ts)).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({x: F.last(x, True).over(passed) for x in columns})
     if method == "interpolate":
         return interpolate(df, columns, by, ts)
     raise ValueError(method)
@@ -64,13 +64,12 @@ def fill(df: DataFrame, columns: list[str], method: str, values: DataFrame | Non
 
 def interpolate(df: DataFrame, columns: list[str], by: str = "equip_id", ts: str = "ts", limit: int | None = None) -> DataFrame:
     """Linear between the neighbours by position, held at both ends; at most ``limit`` rows from a known one."""
-    order = W.partitionBy(by).orderBy(ts)
-    before, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
-    df = df.withColumn("_i", F.row_number().over(order))
+    df = df.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy(ts)))
+    before, after = (W.partitionBy(by).orderBy(x).rowsBetween(W.unboundedPreceding, 0) for x in ("_i", F.desc("_i")))
     out = {}
     for x in columns:
         known = F.when(F.col(x).isNotNull(), F.struct("_i", F.col(x).alias("v")))
-        a, b = F.last(known, True).over(before), F.first(known, True).over(after)
+        a, b = F.last(known, True).over(before), F.last(known, True).over(after)
         between = a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["_i"]) / (b["_i"] - a["_i"])
         value = F.coalesce(F.col(x), between, a["v"], b["v"])
         if limit is not None:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plantwatch.functions.scalar import seconds, seconds_between
-from plantwatch.operators.islands import grid_last
+from plantwatch.operators.islands import grid_last, micros
 
 KEYS = ["equip_id", "tag"]
+#: Grid cells that one row is dealt out to at a time.
+CELLS = 10_000
 # Seconds of each named frequency.
 FREQUENCIES = {"Millisecond": 0.001, "Second": 1, "Minute": 60, "Hour": 3600, "Day": 86_400, "Week": 604_800, "Cyclic": 1}
 
@@ -36,18 +38,20 @@ def widen(history: DataFrame, tags: list[str], how: str = "max") -> DataFrame:
 def cyclic(history: DataFrame, start: str, end: str, step: float, tags: list[str]) -> DataFrame:
     """A regular grid for every tag: the last sample in (previous point, point], carried forward within the tag.
 
-    The range becomes a cell number, so the join is one of equality.
+    The range becomes a cell number, so the join is one of equality. Cells are dealt out in two steps, so that a long
+    grid is neither one array nor broadcast. Steps may be fractions of a second.
     """
     a, b = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    spark = history.sparkSession
-    points = spark.range(1).select(F.explode(F.sequence(a, b, F.expr(f"INTERVAL {int(step)} SECONDS"))).alias("ts"))
-    points = points.withColumn("cell", F.round((seconds("ts") - seconds(a)) / step).cast("long"))
-    inside = history.where((F.col("ts") > a) & (F.col("ts") <= b) | (F.col("ts") == a)).where(F.col("tag").isin(tags))
-    last = grid_last(inside, a, int(step)).groupBy(*KEYS, "cell").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
-    grid = inside.select(*KEYS).distinct().crossJoin(F.broadcast(points))
+    inside = history.where((F.col("ts") >= a) & (F.col("ts") <= b)).where(F.col("tag").isin(tags))
+    last = grid_last(inside, a, step).groupBy(*KEYS, "cell").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    cells = F.floor((micros(b) - micros(a)) / F.lit(round(step * 1e6))).cast("long")
+    blocks = inside.select(*KEYS).distinct().select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(cells / CELLS).cast("long"))).alias("block"))
+    first = F.col("block") * CELLS
+    grid = blocks.select(*KEYS, F.explode(F.sequence(first, F.least(cells, first + (CELLS - 1)))).alias("cell"))
     met = grid.join(last, [*KEYS, "cell"], "left")
     w = W.partitionBy(*KEYS).orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    return met.select(*KEYS, "ts", F.last("value", True).over(w).alias("value"))
+    ts = a + F.make_dt_interval(secs=(F.col("cell") * F.lit(step).cast("decimal(18,6)")).cast("decimal(18,6)"))
+    return met.select(*KEYS, ts.alias("ts"), F.last("value", True).over(w).alias("value"))
 
 
 def between_samples(history: DataFrame, step: int, mode: str = "linear") -> DataFrame:
@@ -68,7 +72,7 @@ def dead_band(history: DataFrame, pct: float) -> DataFrame:
     """The first sample of each tag, and each that differs from the last one kept by the percentage; nulls are kept.
 
     The comparison goes to the last kept sample, a fold in order of time, so it
-    runs by tag; memory holds one Arrow batch of a tag at a time.
+    runs by tag, and a task holds one tag's time and value whole.
     """
 
     def run(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -28,11 +28,9 @@ def asof(left: DataFrame, right: DataFrame, value: str, by: str = "equip_id", ts
     cols = left.columns
     l = left.select(by, F.col(ts).alias("_t"), F.lit(1 if direction == "backward" else 0).alias("_side"), F.struct(*cols).alias("_l"))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy(by).orderBy("_t", "_side")
-    if direction == "backward":
-        got = F.last("_r", True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    else:
-        got = F.first("_r", True).over(w.rowsBetween(0, W.unboundedFollowing))
+    # forward is the same in the other order: a frame that only grows costs one step a row
+    order = ["_t", "_side"] if direction == "backward" else [F.desc("_t"), F.desc("_side")]
+    got = F.last("_r", True).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     met = both.withColumn("_r", got).where("_l is not null")
     return met.select("_l.*", F.col("_r.right_ts").alias("right_ts"), F.col(f"_r.{value}").alias(value))
 
@@ -58,7 +56,11 @@ def inside(points: DataFrame, intervals: DataFrame, by: str = "equip_id", ts: st
     return points.withColumn("_b", at(ts)).join(spans, [by, "_b"]).where(F.col(ts).between(F.col("start_ts"), F.col("end_ts"))).drop("_b")
 
 
-def grid_last(samples: DataFrame, grid_start: Column, step_seconds: int) -> DataFrame:
+def micros(x: Column | str) -> Column:
+    """Microseconds of a timestamp without zone, as a whole number."""
+    return F.unix_micros((F.col(x) if isinstance(x, str) else x).cast("timestamp"))
+
+
+def grid_last(samples: DataFrame, grid_start: Column, step_seconds: float) -> DataFrame:
     """Each sample with the grid point at or after it: (previous point, point], an equality key in place of a range."""
-    offset = seconds("ts") - seconds(grid_start)
-    return samples.withColumn("cell", F.ceil(offset / step_seconds).cast("long"))
+    return samples.withColumn("cell", F.ceil((micros("ts") - micros(grid_start)) / F.lit(round(step_seconds * 1e6))).cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,42 +75,53 @@ def smooth(df: DataFrame, width: int = 5, passes: int = 1, label: str = "regime_
         order = W.partitionBy(E).orderBy("ts")
         values = F.collect_list(label).over(order.rowsBetween(-half, half))
         i, n = F.row_number().over(order), F.count("*").over(W.partitionBy(E))
-        head = F.array_repeat(F.first(label).over(order.rowsBetween(W.unboundedPreceding, 0)), F.greatest(F.lit(0), F.lit(half + 1) - i).cast("int"))
-        tail = F.array_repeat(F.last(label).over(order.rowsBetween(0, W.unboundedFollowing)), F.greatest(F.lit(0), i + half - n).cast("int"))
+        whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        head = F.array_repeat(F.first(label).over(whole), F.greatest(F.lit(0), F.lit(half + 1) - i).cast("int"))
+        tail = F.array_repeat(F.last(label).over(whole), F.greatest(F.lit(0), i + half - n).cast("int"))
         df = df.withColumn("_s", F.element_at(F.array_sort(F.concat(head, values, tail)), half + 1)).drop(label).withColumnRenamed("_s", label)
     return df
 
 
-def hold(labels: list[int], least: int, health: dict[int, float] | None = None) -> list[int]:
-    """Runs shorter than the least take the neighbour with the better health, or else the longer one."""
-    out = list(labels)
-    for _ in range(len(out)):
-        runs, i = [], 0
-        while i < len(out):
-            j = i
-            while j < len(out) and out[j] == out[i]:
-                j += 1
-            runs.append((i, j, out[i]))
-            i = j
-        short = next((k for k, (a, b, _) in enumerate(runs) if b - a < least and len(runs) > 1), None)
-        if short is None:
-            break
-        near = [runs[k] for k in (short - 1, short + 1) if 0 <= k < len(runs)]
-        a, b, _ = runs[short]
-        out[a:b] = [max(near, key=lambda r: ((health or {}).get(r[2], 0.0), r[1] - r[0]))[2]] * (b - a)
-    return out
-
-
-def min_dwell(df: DataFrame, least: int, health: dict[int, float] | None = None, label: str = "regime_label") -> DataFrame:
-    """Sequential by nature, so by piece of equipment; only time and label go to Python."""
+def hold(labels: list[int], least: int, health: dict[int, float] | None = None, times: Sequence[float] | None = None, seconds: float | None = None) -> list[int]:
+    """Runs shorter than the least take the neighbour with the better health, or else the longer one.
+
+    With times and ``seconds``, a run is short if its last row comes less than so many seconds after its first. Short
+    runs are settled from the left, each in its turn; what it becomes part of is looked at again, so one pass does.
+    """
+    by_time = seconds is not None and times is not None
+    ahead, a = [], 0
+    for b in range(1, len(labels) + 1):
+        if b == len(labels) or labels[b] != labels[a]:
+            ahead.append((a, b, labels[a]))
+            a = b
+    ahead.reverse()
+    settled: list[tuple[int, int, int]] = []
+    while ahead:
+        a, b, label = ahead.pop()
+        short = times[b - 1] - times[a] < seconds if by_time else b - a < least
+        near = settled[-1:] + ahead[-1:]
+        if not short or not near:
+            settled.append((a, b, label))
+            continue
+        label = max(near, key=lambda r: ((health or {}).get(r[2], 0.0), r[1] - r[0]))[2]
+        if settled and settled[-1][2] == label:
+            a = settled.pop()[0]
+        if ahead and ahead[-1][2] == label:
+            b = ahead.pop()[1]
+        ahead.append((a, b, label))
+    return [label for a, b, label in settled for _ in range(a, b)]
+
+
+def min_dwell(df: DataFrame, least: int, health: dict[int, float] | None = None, label: str = "regime_label", seconds: float | None = None) -> DataFrame:
+    """Least dwell in rows, or in seconds if they are given; sequential by nature, so by piece of equipment, which a task holds whole."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts")
-        frame[label] = hold(frame[label].tolist(), least, health)
-        return frame
+        times = frame["ts"].astype("int64").to_numpy() / 1e9 if seconds is not None else None
+        return frame.assign(**{label: np.array(hold(frame[label].tolist(), least, health, times, seconds), "int32")})
 
-    held = df.select(F.col(E).cast("int").alias(E), "ts", F.col(label).cast("int").alias(label)).groupBy(E).applyInPandas(run, f"{E} int, ts timestamp_ntz, {label} int")
-    return df.drop(label).join(held, [E, "ts"])
+    typed = df.withColumn(label, F.col(label).cast("int"))
+    return typed.groupBy(E).applyInPandas(run, typed.schema)
 
 
 def regime_health(scores: DataFrame, suspect: float = 1.5, critical: float = 3.0) -> DataFrame:

@@ -301,6 +301,49 @@ def test_hold():
     assert regimes.hold([5], 3) == [5]
 
 
+def plain_hold(labels, least, health=None, times=None, seconds=None):
+    """The same rule with a search from the start after every change."""
+    out = list(labels)
+    while True:
+        runs, a = [], 0
+        for b in range(1, len(out) + 1):
+            if b == len(out) or out[b] != out[a]:
+                runs.append((a, b, out[a]))
+                a = b
+        short = [k for k, (a, b, _) in enumerate(runs) if (times[b - 1] - times[a] < seconds if seconds is not None else b - a < least) and len(runs) > 1]
+        if not short:
+            return out
+        near = [runs[k] for k in (short[0] - 1, short[0] + 1) if 0 <= k < len(runs)]
+        a, b, _ = runs[short[0]]
+        out[a:b] = [max(near, key=lambda r: ((health or {}).get(r[2], 0.0), r[1] - r[0]))[2]] * (b - a)
+
+
+def test_hold_against_a_plain_search():
+    r = random.Random(6)
+    for _ in range(600):
+        labels = [r.randint(0, 3) for _ in range(r.randint(0, 30))]
+        times = sorted(r.uniform(0, 100) for _ in labels)
+        health = r.choice([None, {0: 1.0, 2: 0.5}])
+        least = r.randint(1, 6)
+        assert regimes.hold(labels, least, health) == plain_hold(labels, least, health)
+        assert regimes.hold(labels, 0, health, times, 12.0) == plain_hold(labels, 0, health, times, 12.0)
+    assert len(regimes.hold([1, 2] * 100_000, 3)) == 200_000
+
+
+def test_grid_of_milliseconds(spark):
+    rows = [(1, "a", f"2024-01-01 00:00:00.00{i}", i, 0, float(i)) for i in (1, 4, 6)]
+    df = spark.createDataFrame(rows, "equip_id int, tag string, ts string, seq long, quality int, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = history.cyclic(df, "2024-01-01 00:00:00", "2024-01-01 00:00:00.008", 0.001, ["a"]).orderBy("ts").collect()
+    assert [x.value for x in got] == [None, 1.0, 1.0, 1.0, 4.0, 4.0, 6.0, 6.0, 6.0] and [x.ts.microsecond for x in got] == [1000 * i for i in range(9)]
+
+
+def test_dwell_in_seconds(spark):
+    rows = [(1, i * 60, 1 if i < 5 else 2 if i < 7 else 1, "x") for i in range(12)]
+    df = spark.createDataFrame(rows, "equip_id int, s int, regime_label int, extra string").select("equip_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "regime_label", "extra")
+    assert {x.regime_label for x in regimes.min_dwell(df, 0, seconds=61).collect()} == {1} and regimes.min_dwell(df, 0, seconds=60).where("regime_label = 2").count() == 2
+    assert regimes.min_dwell(df, 0, seconds=61).columns == df.columns
+
+
 def test_smooth_repeats_the_ends(spark):
     got = collected(regimes.smooth(series(spark, [0, 1, 1, 0, 1, 1, 9], "regime_label", schema="int"), 3), "regime_label")
     assert got == [(0,), (1,), (1,), (1,), (1,), (1,), (9,)]
