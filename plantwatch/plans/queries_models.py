@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantwatch.functions import scalar
-from plantwatch.operators import detectors, forecasting, history, regimes, runs, scoring
+from plantwatch.operators import assets, detectors, forecasting, history, regimes, runs, scoring
 from plantwatch.operators.tables import drift_events, drift_series, melt
 from plantwatch.plans import frames as f
 from plantwatch.plans.catalog import query
@@ -171,6 +171,39 @@ def _(s, d):
     return detectors.Subspace(_ZC, most=2).fit(rows).score(rows).select(E, "ts", "pca_spe", "pca_t2")
 
 
+# a model for each piece of equipment, fitted on its training rows
+
+_PAIR = ["click", "view"]
+_OWN = """(SELECT w.equip_id, w.ts, w.split, w.click - m.mx AS x, w.view - m.my AS y, n, a, b, c FROM (SELECT equip_id, ts, split, coalesce(click, fx) AS click, coalesce(view, fy) AS view FROM wide JOIN (SELECT equip_id, coalesce(quantile_cont(click, 0.5), 0.0) AS fx, coalesce(quantile_cont(view, 0.5), 0.0) AS fy FROM wide WHERE split = 'train' GROUP BY 1) USING (equip_id)) w
+  JOIN (SELECT equip_id, count(*) AS n, avg(click) AS mx, avg(view) AS my, var_samp(click) AS a, var_samp(view) AS b, covar_samp(click, view) AS c FROM (SELECT equip_id, split, coalesce(click, fx) AS click, coalesce(view, fy) AS view FROM wide JOIN (SELECT equip_id, coalesce(quantile_cont(click, 0.5), 0.0) AS fx, coalesce(quantile_cont(view, 0.5), 0.0) AS fy FROM wide WHERE split = 'train' GROUP BY 1) USING (equip_id)) WHERE split = 'train' GROUP BY 1) m USING (equip_id) WHERE n >= 20)"""
+# in population deviations, whose covariance (n - 1) has n / (n - 1) on its diagonal
+_UNIT = f"(SELECT equip_id, ts, split, n, x / sqrt(a * (n - 1) / n) AS u, y / sqrt(b * (n - 1) / n) AS v, c / sqrt(a * b) AS r FROM {_OWN})"
+
+
+def _own(s, d):
+    rows = f.wide(s, d).select(E, "ts", "split", *_PAIR)
+    return rows, rows.where("split = 'train'")
+
+
+@query("m04_mahalanobis_by_equipment", f"SELECT equip_id, ts, sqrt((x * x * (b + 1e-3) - 2 * x * y * c + y * y * (a + 1e-3)) / ((a + 1e-3) * (b + 1e-3) - c * c)) AS score FROM {_OWN}", "score")
+def _(s, d):
+    rows, train = _own(s, d)
+    return assets.score_mahalanobis(rows, assets.fit_mahalanobis(train, _PAIR), _PAIR).where("score is not null").select(E, "ts", "score")
+
+
+@query("m05_pca_by_equipment", f"SELECT equip_id, ts, (u - sign(r) * v) ^ 2 / 2 AS pca_spe, (u + sign(r) * v) ^ 2 / 2 / (n / (n - 1) * (1 + abs(r))) AS pca_t2 FROM {_UNIT}", "pca_spe pca_t2")
+def _(s, d):
+    rows, train = _own(s, d)
+    return assets.score_subspace(rows, assets.fit_subspace(train, _PAIR, 1), _PAIR, 1).where("pca_spe is not null").select(E, "ts", "pca_spe", "pca_t2")
+
+
+@query("m08_omr_by_equipment", f"""SELECT equip_id, ts, least(10.0, norm / greatest(sd, 1e-6)) AS omr_z FROM (SELECT *, stddev_pop(norm) FILTER (split = 'train') OVER (PARTITION BY equip_id) AS sd
+  FROM (SELECT *, sqrt((u - w * v) ^ 2 + (v - w * u) ^ 2) AS norm FROM (SELECT *, r * n / (n - 1) * n / (n / (n - 1) * n + 1.0) AS w FROM {_UNIT})))""", "omr_z")
+def _(s, d):
+    rows, train = _own(s, d)
+    return assets.score_reconstruction(rows, assets.fit_reconstruction(train, _PAIR, "linear"), _PAIR).where("omr_z is not null").select(E, "ts", "omr_z")
+
+
 @query("m06_iforest")
 def _(s, d):
     rows = _zw(s, d)
