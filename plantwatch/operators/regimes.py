@@ -173,3 +173,31 @@ def transients(df: DataFrame, high: float = 0.1, trip: float = 0.3, hold_rows: i
         return pd.DataFrame({"equip_id": frame["equip_id"], "ts": frame["ts"], "transient_state": out})
 
     return df.select(F.col(E).cast("int").alias(E), "ts", "roc", "regime_label").groupBy(E).applyInPandas(run, f"{E} int, ts timestamp_ntz, transient_state string")
+
+
+def fit_auto_k(df: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, pca_dim: int = 20, sil_sample: int = 4000, seed: int = 17) -> tuple[Regimes, DataFrame]:
+    """K-means on robustly scaled columns, through principal components where there are more than ``pca_dim``; and the rows with labels."""
+    middle = medians(df, columns)
+    spread = df.agg(*[F.percentile(F.abs(F.col(c) - float(m)), 0.5).alias(c) for c, m in zip(columns, middle, strict=True)]).first()
+    scale = [1.4826 * (spread[c] or 0.0) or 1.0 for c in columns]
+    ready = filled(df, columns, middle).withColumns({f"b{i}": F.greatest(F.lit(-10.0), F.least(F.lit(10.0), (F.col(c) - float(m)) / float(s))) for i, (c, m, s) in enumerate(zip(columns, middle, scale, strict=True))})
+    names = [f"b{i}" for i in range(len(columns))]
+    if len(names) > pca_dim:
+        pca = Subspace(names, most=pca_dim).fit(ready)
+        scaled, _, parts = pca.project(ready)
+        ready = scaled.withColumns({f"p{i}": t for i, t in enumerate(parts)})
+        names = [f"p{i}" for i in range(len(parts))]
+    found = fit_regimes(ready, names, k_min, k_max, seed, sil_sample)
+    return found, found.predict(ready).select(*df.columns, "regime_label")
+
+
+def silhouette(df: DataFrame, columns: list[str], centers: np.ndarray) -> DataFrame:
+    """(equip_id, silhouette): by distances to the nearest and the next centre."""
+    parts = [F.sqrt(sum((F.pow(F.coalesce(F.col(c), F.lit(0.0)) - float(v), F.lit(2.0)) for c, v in zip(columns, center, strict=True)), F.lit(0.0))) for center in centers]
+    d = F.array_sort(F.array(*parts))
+    return df.groupBy(E).agg(F.avg((d[1] - d[0]) / F.greatest(d[1], F.lit(1e-12))).alias("silhouette"))
+
+
+def quality_gate(found: DataFrame, least: float = 0.15) -> DataFrame:
+    """Whether regimes are told apart well enough to be used; an unknown silhouette is not."""
+    return found.withColumn("regime_quality_ok", F.coalesce(F.col("silhouette") >= least, F.lit(False)))

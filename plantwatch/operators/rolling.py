@@ -7,7 +7,10 @@ sort however many sensors and statistics it has.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -129,3 +132,61 @@ def features(df: DataFrame, columns: list[str], width: int, by: tuple[str, ...]
     clean = lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v)
     rz = [clean(robust_z(x, f"{x}_med", f"{x}_mad")).alias(f"{x}_rz") for x in columns]
     return got.select(*by, ts, *[clean(F.col(n)).alias(n) for n in first], *rz)
+
+
+def band_energy(values: Column | str, width: int, bands: tuple = BANDS) -> list[Column]:
+    """Energy by band of an array, by Goertzel's recurrence: one pass over the array for each frequency."""
+    v = c(values)
+    n = F.size(v)
+    avg = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
+
+    def power(k: Column) -> Column:
+        turn = 2 * F.cos(2 * math.pi * k / n)
+        start = F.struct(F.lit(0.0).alias("one"), F.lit(0.0).alias("two"))
+        end = F.aggregate(v, start, lambda s, x: F.struct((x - avg + turn * s["one"] - s["two"]).alias("one"), s["one"].alias("two")))
+        return F.transform(F.array(end), lambda s: s["one"] * s["one"] + s["two"] * s["two"] - turn * s["one"] * s["two"])[0]
+
+    out = []
+    for low, high in bands:
+        inside = F.filter(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), _within(low, high, n))
+        total = F.aggregate(F.transform(inside, power), F.lit(0.0), lambda a, x: a + x)
+        out.append(F.when(n >= max(1, width // 2), total).otherwise(F.lit(0.0)))
+    return out
+
+
+def fourier_energy(values: Column | str, bands: tuple = BANDS) -> Column:
+    """Energy by band of long arrays, an array of doubles, by a fast Fourier transform over Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def energy(arrays: pd.Series) -> pd.Series:
+        def one(a) -> list[float]:
+            x = np.asarray(a, float)
+            if not len(x):
+                return [0.0] * len(bands)
+            p = np.abs(np.fft.rfft(x - x.mean())) ** 2
+            share = 2 * np.arange(len(p)) / len(x)
+            return [float(p[(share >= low) & (share < high)].sum()) for low, high in bands]
+
+        return arrays.map(one)
+
+    return energy(c(values))
+
+
+def apply(values: Column | str, w: WindowSpec, f: Callable[[np.ndarray], float]) -> Column:
+    """Any function of a window's values, null ones left out, over Arrow batches: the slow path, for what has no built-in."""
+
+    @F.pandas_udf("double")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: float(f(np.asarray(a, float))) if len(a) else None)
+
+    return run(F.collect_list(c(values)).over(w))
+
+
+def map_elements(values: Column | str, f: Callable[[np.ndarray], float]) -> Column:
+    """Any function of an array column, over Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else float(f(np.asarray(a, float))))
+
+    return run(c(values))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import time
+from collections.abc import Callable
+from functools import wraps
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -130,3 +134,124 @@ def register_views(tables: dict[str, DataFrame], equipment: DataFrame) -> list[s
 def latest_run(runs: DataFrame) -> DataFrame:
     """The latest run of each piece of equipment by time; ids say nothing about order."""
     return runs.groupBy("equip_id").agg(F.max_by("run_id", "started_at").alias("run_id"), F.max("started_at").alias("started_at"))
+
+
+# runs' own rows
+
+
+def run_stats(scores: DataFrame, episodes: DataFrame) -> DataFrame:
+    """A row for each piece of equipment: rows, first and last time, mean and greatest fused score, episodes and their length."""
+    s = scores.groupBy("equip_id").agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("fused").alias("mean_fused"), F.max("fused").alias("max_fused"))
+    e = episodes.groupBy("equip_id").agg(F.count("*").alias("n_episodes"), F.sum("duration_s").alias("episode_s"))
+    return s.join(e, "equip_id", "left").fillna(0, ["n_episodes"]).fillna(0.0, ["episode_s"])
+
+
+def run_metadata(split: DataFrame, stats: DataFrame, config_signature: str) -> DataFrame:
+    """The summary row of a run: training and scored rows, what was found, and the signature of its settings."""
+    n = split.groupBy("equip_id").agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "score").alias("score_rows"))
+    health = F.when(F.col("mean_fused") >= 3, "CRITICAL").when(F.col("n_episodes") > 0, "WARNING").otherwise("HEALTHY")
+    return n.join(stats, "equip_id").select("equip_id", "train_rows", "score_rows", "n_episodes", health.alias("health_status"), F.lit(config_signature).alias("config_signature"))
+
+
+def unfinished(windows: DataFrame, progress: DataFrame) -> DataFrame:
+    """Windows that begin at or after the end of what an asset has finished; all of them where nothing is known."""
+    return windows.join(progress, "equip_id", "left").where(F.col("last_end").isNull() | (F.col("window_start") >= F.col("last_end"))).drop("last_end")
+
+
+def chunk_plan(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """Each asset's chunks in order of their names; the first one bootstraps, and what is done is left out."""
+    w = W.partitionBy("equip_id").orderBy("chunk")
+    planned = chunks.withColumn("n", F.row_number().over(w).cast("long")).withColumn("step", F.when(F.col("n") == 1, "bootstrap").otherwise("replay"))
+    return planned.join(done.select("equip_id", "chunk"), ["equip_id", "chunk"], "left_anti")
+
+
+def accumulate(history: DataFrame, minutes: int, required: int = COLD_ROWS, tries: int = COLD_TRIES) -> DataFrame:
+    """Cold start: windows from the first sample that double until one holds the rows required; the last try counts otherwise.
+
+    All windows are counted in one aggregation, as there are only a few.
+    """
+    first = history.groupBy("equip_id").agg(F.min("ts").alias("t0"))
+    within = lambda k: F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) < F.lit(minutes * 2**k * 60_000_000)
+    sums = history.join(first, "equip_id").groupBy("equip_id", "t0").agg(*[F.count_if(within(k)).alias(f"n{k}") for k in range(tries)])
+    attempt = F.coalesce(*[F.when(F.col(f"n{k}") >= required, k) for k in range(tries)], F.lit(tries - 1))
+    got = sums.withColumn("k", attempt).withColumn("n_rows", F.get(F.array(*[F.col(f"n{k}") for k in range(tries)]), F.col("k")))
+    status = F.when(F.col("n_rows") >= required, "COMPLETE").otherwise("FAILED")
+    return got.select("equip_id", (F.col("k") + 1).cast("long").alias("attempts"), "n_rows", F.col("t0").alias("window_start"), (F.col("t0") + F.make_dt_interval(mins=(F.lit(minutes) * F.pow(F.lit(2.0), F.col("k"))).cast("int"))).alias("window_end"), status.alias("status"))
+
+
+class Config:
+    """Settings by dotted path; those who asked are told of each change."""
+
+    def __init__(self, rows: list[tuple[str, str, str]]):
+        self.values = nested(rows)
+        self.told: list[Callable[[str, Any, Any], None]] = []
+
+    def on_update(self, callback: Callable[[str, Any, Any], None]) -> None:
+        self.told.append(callback)
+
+    def get(self, path: str, default: Any = None) -> Any:
+        at: Any = self.values
+        for part in path.split("."):
+            if not isinstance(at, dict) or part not in at:
+                return default
+            at = at[part]
+        return at
+
+    def update(self, path: str, value: Any) -> None:
+        *head, last = path.split(".")
+        old, at = self.get(path), self.values
+        for part in head:
+            if not isinstance(at.get(part), dict):
+                at[part] = {}
+            at = at[part]
+        at[last] = value
+        for callback in self.told:
+            callback(path, old, value)
+
+
+class Timer:
+    """Seconds spent by name; ``wrap`` makes a function's calls count."""
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+
+    def wrap(self, name: str) -> Callable[[Callable], Callable]:
+        def around(f: Callable) -> Callable:
+            @wraps(f)
+            def timed(*args: Any, **named: Any) -> Any:
+                start = time.monotonic()
+                try:
+                    return f(*args, **named)
+                finally:
+                    self.seconds[name] = self.seconds.get(name, 0.0) + time.monotonic() - start
+                    logging.getLogger("plantwatch").info("%s took %.3f s", name, self.seconds[name])
+
+            return timed
+
+        return around
+
+
+# master data
+
+
+def equipment_types(equipment: DataFrame) -> DataFrame:
+    """(type, instances), by type."""
+    return equipment.groupBy("type").agg(F.count("*").alias("instances"))
+
+
+def equipment_of(equipment: DataFrame, kind: str | None = None, active: bool = True) -> DataFrame:
+    """The instances of a type, or all."""
+    found = equipment.where(F.col("type") == kind) if kind is not None else equipment
+    return found.where("is_active") if active and "is_active" in equipment.columns else found
+
+
+def tag_mappings(equipment: DataFrame, tags: DataFrame) -> DataFrame:
+    """Equipment with its active tags; equipment without any has a row with a null tag."""
+    return equipment.join(tags.where("is_active") if "is_active" in tags.columns else tags, "equip_id", "left")
+
+
+def sync_equipment(equipment: DataFrame, seen: DataFrame) -> DataFrame:
+    """Master data after a look at the source: new codes are registered, those no longer seen go inactive."""
+    there = seen.select("code").distinct().withColumn("_seen", F.lit(True))
+    known = register(equipment.drop("is_active"), seen)
+    return known.join(there, "code", "left").select(*known.columns, F.coalesce("_seen", F.lit(False)).alias("is_active"))

@@ -381,3 +381,8 @@ def build_all(scores: DataFrame, episodes: DataFrame, context: DataFrame, drift:
         "alert_age": alert_age(scores), "hotspots": hotspots(context), "hotspot_timeline": hotspot_timeline(context), "episode_metrics": episode_metrics(episodes), "episodes_qc": episodes_qc(scores, episodes), "severity_mapping": severity_mapping(episodes), "episode_contributions": episode_contributions(scores, episodes),
         "episode_diagnostics": episode_diagnostics(scores, episodes), "parse_culprits": parse_culprits(episodes),
     }
+
+
+def culprit_basics(episodes: DataFrame) -> DataFrame:
+    """What an episode says of itself where scores hold no detector columns."""
+    return episodes.select("equip_id", "episode_id", "start_ts", "end_ts", (F.col("duration_s") / 3600).alias("duration_hours"), F.coalesce("culprits", F.lit("unknown")).alias("culprits"))

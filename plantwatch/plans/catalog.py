@@ -43,4 +43,4 @@ def query(name: str, sql: str | None = None, d: str = "", base: bool = True):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from plantwatch.plans import queries_core, queries_models, queries_more, queries_tables  # noqa: F401
+    from plantwatch.plans import queries_core, queries_models, queries_more, queries_runs, queries_tables  # noqa: F401

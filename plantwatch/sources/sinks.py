@@ -123,3 +123,65 @@ def model_valid(signature: str, sensors: list[str], want: str, have: list[str])
     """Whether a stored model may be used, and what speaks against it."""
     why = (["configuration changed"] if signature != want else []) + [f"sensor gone: {s}" for s in sorted(set(sensors) - set(have))] + [f"sensor new: {s}" for s in sorted(set(have) - set(sensors))]
     return not why, why
+
+
+# files for people and other programs
+
+
+def as_text(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Times as yyyy-MM-dd HH:mm:ss and doubles rounded to significant digits, as text files show them."""
+    def one(f: T.StructField):
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            size = F.floor(F.log10(F.abs(F.col(f.name))))
+            unit = F.pow(F.lit(10.0), F.lit(float(digits - 1)) - size)
+            return F.when(F.col(f.name) == 0, 0.0).otherwise(F.round(F.col(f.name) * unit) / unit).alias(f.name)
+        return F.col(f.name)
+
+    return df.select(*[one(f) for f in df.schema])
+
+
+def write_scores(scores: DataFrame, path: str, run_id: str) -> None:
+    """Scores as a table, unrounded, and beside it as CSV."""
+    write_table(scores, f"{path}/scores", run_id)
+    as_text(scores).write.mode("overwrite").option("header", True).csv(f"{path}/scores_csv")
+
+
+def episode_rows(episodes: DataFrame) -> DataFrame:
+    """Episodes with a severity in words, its rank and their length in hours."""
+    level = F.when(F.col("severity") == "CRITICAL", 4).when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1)
+    return episodes.select("equip_id", "episode_id", "start_ts", "end_ts", (F.col("duration_s") / 3600).alias("duration_hours"), F.lower("severity").alias("severity"), level.alias("severity_rank"), "culprits")
+
+
+def write_episodes(episodes: DataFrame, path: str, run_id: str) -> None:
+    write_table(episode_rows(episodes), f"{path}/episodes", run_id)
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """One JSON object a row, in a column ``value`` that the text sink writes."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    json_lines(df).write.mode("overwrite").text(path)
+
+
+class Artifacts:
+    """Tables of a run by name, kept in the cluster's memory and disk until they are dropped."""
+
+    def __init__(self) -> None:
+        self.tables: dict[str, DataFrame] = {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.drop(name)
+        self.tables[name] = df.persist()
+        return self.tables[name]
+
+    def get(self, name: str) -> DataFrame | None:
+        return self.tables.get(name)
+
+    def drop(self, name: str | None = None) -> None:
+        for key in [name] if name is not None else list(self.tables):
+            if key in self.tables:
+                self.tables.pop(key).unpersist()
