@@ -65,7 +65,7 @@ def run(rows: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """
     keep = settings.keep or (lambda df: df)
     wide = keep(sensor_frame(rows, settings))
-    scores = keep(fused_scores(detector_scores(wide, settings), settings))
+    scores = keep(fused_scores(keep(detector_scores(wide, settings)), settings))
     episodes = keep(scoring.name_episodes(scoring.episodes(scores), scores))
     drift = scoring.drift(scores)
     long = wide.unpivot([E, "ts", "split"], settings.tags, "tag", "value").where("value is not null")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from plantwatch.operators import batch, history, regimes, rolling, runs, tables
 from plantwatch.plans import frames as f
 from plantwatch.plans.catalog import query
+from plantwatch.session import kept
 from plantwatch.sources import sinks
 
 E = "equip_id"
@@ -188,7 +189,7 @@ def _(s, d):
 
 
 def _batch(s, d):
-    return batch.run(f.history(s, d), batch.Settings(COLS))
+    return batch.run(f.history(s, d), batch.Settings(COLS, keep=kept))
 
 
 @query("e09_batch_scores")

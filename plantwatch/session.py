@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "plantwatch", **conf: str) -> SparkSession:
@@ -38,3 +38,17 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root))
     context.addPyFile(str(target))  # the driver serves it, executors need no shared folder
     context._plantwatch_sent = True
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a reliable checkpoint in the cluster's shared folder.
+
+    ``spark.checkpoint.dir`` names it; where that is unset, in local mode, a temporary folder is taken.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plantwatch-"))
+    return df.checkpoint(eager=True)
