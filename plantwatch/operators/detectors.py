@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 E = "equip_id"
+#: Rows of the healthy regime that a model is fitted on alone, at least.
+LEAST_ROWS = 50
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -45,6 +47,12 @@ def filled(df: DataFrame, columns: list[str], values: list[float], limit: float
     return df.withColumns({x: one(x, v) for x, v in zip(columns, values, strict=True)})
 
 
+def with_filled(df: DataFrame, columns: list[str], values: list[float]) -> tuple[DataFrame, list[str]]:
+    """The frame with filled copies of the columns beside them, and their names; they go with ``drop``."""
+    names = [f"_filled_{i}" for i in range(len(columns))]
+    return filled(df.withColumns(dict(zip(names, map(F.col, columns), strict=True))), names, values), names
+
+
 def _dot(row: np.ndarray, xs: list[Column]) -> Column:
     out = F.lit(0.0)
     for w, x in zip(row, xs, strict=True):
@@ -56,14 +64,26 @@ def _dot(row: np.ndarray, xs: list[Column]) -> Column:
 
 
 def fit_ar1(long: DataFrame, cap: float = 0.999) -> DataFrame:
-    """(equip_id, tag, mu, phi, sd): phi of the demeaned series, deviation of the residuals but the first."""
-    w = W.partitionBy(E, "tag").orderBy("ts")
-    mu = long.groupBy(E, "tag").agg(F.avg("value").alias("mu"))
-    x = long.join(mu, [E, "tag"]).withColumn("x", F.coalesce(F.col("value") - F.col("mu"), F.lit(0.0))).withColumn("p", F.lag("x").over(w))
-    phi = x.groupBy(E, "tag").agg(F.first("mu").alias("mu"), F.coalesce(F.sum(F.col("x") * F.col("p")) / F.when(F.sum(F.col("p") * F.col("p")) > 0, F.sum(F.col("p") * F.col("p"))), F.lit(0.0)).alias("phi"))
-    phi = phi.withColumn("phi", F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("phi"))))
-    res = x.drop("mu").join(phi, [E, "tag"]).where("p is not null").withColumn("r", F.col("x") - F.col("phi") * F.col("p"))
-    return phi.join(res.groupBy(E, "tag").agg(F.greatest(F.stddev_pop("r"), F.lit(1e-6)).alias("sd")), [E, "tag"], "left").fillna(1e-6, ["sd"])
+    """(equip_id, tag, mu, phi, sd): phi of the demeaned series, deviation of the residuals but the first.
+
+    One exchange: the mean and the row before come from windows by tag, and the residuals' variance follows from the
+    pairs' variances and covariance. A null lies at the mean.
+    """
+    key = W.partitionBy(E, "tag")
+    x = long.withColumn("mu", F.avg("value").over(key)).withColumn("x", F.coalesce(F.col("value") - F.col("mu"), F.lit(0.0)))
+    return lag_moments(x.withColumn("p", F.lag("x").over(key.orderBy("ts"))), [E, "tag"], cap).select(E, "tag", "mu", "phi", "sd")
+
+
+def lag_moments(x: DataFrame, keys: list[str], cap: float, *more: Column) -> DataFrame:
+    """mu, phi and sd by key from demeaned values ``x`` and those before them, ``p``; further aggregates beside them."""
+    pair = F.col("p").isNotNull()
+    mean_x, mean_p = F.avg(F.when(pair, F.col("x"))), F.avg("p")
+    sums = x.groupBy(*keys).agg(F.first("mu").alias("mu"), F.covar_pop("x", "p").alias("_c"), F.var_pop(F.when(pair, F.col("x"))).alias("_vx"), F.var_pop("p").alias("_vp"), mean_x.alias("_mx"), mean_p.alias("_mp"), *more)
+    den = F.col("_vp") + F.col("_mp") * F.col("_mp")
+    phi = F.coalesce((F.col("_c") + F.col("_mx") * F.col("_mp")) / F.when(den > 0, den), F.lit(0.0))
+    sums = sums.withColumn("phi", F.greatest(F.lit(-cap), F.least(F.lit(cap), phi)))
+    rest = F.col("_vx") - 2 * F.col("phi") * F.col("_c") + F.col("phi") * F.col("phi") * F.col("_vp")
+    return sums.withColumn("sd", F.greatest(F.sqrt(F.greatest(F.coalesce(rest, F.lit(0.0)), F.lit(0.0))), F.lit(1e-6))).drop("_c", "_vx", "_vp", "_mx", "_mp")
 
 
 def score_ar1(long: DataFrame, params: DataFrame) -> DataFrame:
@@ -122,8 +142,12 @@ class Subspace:
     all_variances: np.ndarray = field(default=None)  # type: ignore[assignment]
 
     def fit(self, df: DataFrame) -> Subspace:
-        self.fill = medians(df, self.columns)
-        n, self.mean, cov = moments(filled(df, self.columns, self.fill), self.columns)
+        rows = df.select(*self.columns).persist()  # read twice
+        try:
+            self.fill = medians(rows, self.columns)
+            n, self.mean, cov = moments(filled(rows, self.columns, self.fill), self.columns)
+        finally:
+            rows.unpersist()
         sd = np.sqrt(np.diag(cov) * (n - 1) / max(1, n))
         self.scale = np.where(sd > 1e-12, sd, 1.0)
         values, vectors = np.linalg.eigh(cov / np.outer(self.scale, self.scale))
@@ -140,15 +164,16 @@ class Subspace:
         return ready, xs, [_dot(c, xs) for c in self.components]
 
     def score(self, df: DataFrame, spe: str = "pca_spe", t2: str = "pca_t2") -> DataFrame:
-        ready, xs, ts = self.project(df)
+        ready, names = with_filled(df, self.columns, self.fill)
+        xs = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(names, self.mean, self.scale, strict=True)]
+        ts = [_dot(c, xs) for c in self.components]
         error, hotelling = F.lit(0.0), F.lit(0.0)
         for i, x in enumerate(xs):
             rest = x - _dot(self.components[:, i], ts)
             error = error + rest * rest
         for t, v in zip(ts, self.variances, strict=True):
             hotelling = hotelling + t * t / float(max(v, 1e-12))
-        got = ready.withColumns({spe: error, t2: hotelling}).select(E, "ts", spe, t2)
-        return df.join(got, [E, "ts"])
+        return ready.withColumns({spe: error, t2: hotelling}).drop(*names)
 
     def loadings(self) -> list[tuple[int, str, float]]:
         return [(k + 1, c, float(self.components[k, i])) for k in range(len(self.components)) for i, c in enumerate(self.columns)]
@@ -181,9 +206,16 @@ class Reconstruction:
     residual_std: float = 1.0
 
     def fit(self, df: DataFrame) -> Reconstruction:
-        if "regime_label" in df.columns:  # the healthy regime is the lowest label
-            low = df.agg(F.min("regime_label")).first()[0]
-            df = df.where(F.col("regime_label") == low) if low is not None else df
+        rows = df.select(*self.columns, *(["regime_label"] if "regime_label" in df.columns else [])).persist()  # read up to four times
+        try:
+            return self._fit(rows)
+        finally:
+            rows.unpersist()
+
+    def _fit(self, df: DataFrame) -> Reconstruction:
+        if "regime_label" in df.columns:  # the healthy regime is the lowest label, if it has enough rows to fit
+            low = df.groupBy("regime_label").agg(F.count("*").alias("n")).where("regime_label is not null").orderBy("regime_label").first()
+            df = df.where(F.col("regime_label") == low[0]) if low is not None and low[1] >= LEAST_ROWS else df
         self.fill = medians(df, self.columns)
         ready = filled(df, self.columns, self.fill)
         n, self.mean, cov = moments(ready, self.columns)
@@ -234,8 +266,8 @@ class Reconstruction:
         r = wm @ np.linalg.pinv(pm.T @ wm)
         return pm @ r.T
 
-    def _residuals(self) -> list[Column]:
-        xs = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(self.columns, self.mean, self.scale, strict=True)]
+    def _residuals(self, names: list[str] | None = None) -> list[Column]:
+        xs = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(names or self.columns, self.mean, self.scale, strict=True)]
         return [x - _dot(w, xs) for x, w in zip(xs, self.weights, strict=True)]
 
     @staticmethod
@@ -247,9 +279,8 @@ class Reconstruction:
 
     def score(self, df: DataFrame, name: str = "omr_z", limit: float = 10.0) -> DataFrame:
         """The norm over its training deviation, clipped; rows are filled by training medians."""
-        ready = filled(df, self.columns, self.fill)
-        got = ready.select(E, "ts", F.least(F.lit(limit), self._norm(self._residuals()) / self.residual_std).alias(name))
-        return df.join(got, [E, "ts"])
+        ready, names = with_filled(df, self.columns, self.fill)
+        return ready.withColumn(name, F.least(F.lit(limit), self._norm(self._residuals(names)) / self.residual_std)).drop(*names)
 
     def contributions(self, df: DataFrame) -> DataFrame:
         """(equip_id, ts, sensor, score): squared residuals."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plantwatch.functions.scalar import clip, correlation, norm_cdf_sql, seconds, seconds_between
+from plantwatch.operators.detectors import lag_moments
 
 E = "equip_id"
 Z95 = 1.96
@@ -39,16 +40,13 @@ def step_seconds(series: DataFrame) -> DataFrame:
 
 
 def fit(series: DataFrame, keys: tuple[str, ...] = (E,), cap: float = 0.999) -> DataFrame:
-    """AR(1) about the mean: mu, phi, residual deviation, last value and time, step."""
-    w = W.partitionBy(*keys).orderBy("ts")
-    mu = series.where("y is not null").groupBy(*keys).agg(F.avg("y").alias("mu"))
-    x = series.where("y is not null").join(mu, list(keys)).withColumn("x", F.col("y") - F.col("mu")).withColumns({"p": F.lag("x").over(w), "d": seconds_between(F.lag("ts").over(w), "ts")})
-    den = F.sum(F.col("p") * F.col("p"))
-    got = x.groupBy(*keys).agg(F.first("mu").alias("mu"), F.count("*").alias("n"), F.coalesce(F.sum(F.col("x") * F.col("p")) / F.when(den > 0, den), F.lit(0.0)).alias("phi"), F.max_by("y", "ts").alias("last_y"), F.max("ts").alias("last_ts"), F.percentile("d", 0.5).alias("step_s"), F.regr_slope(F.col("y"), seconds("ts")).alias("slope"))
-    got = got.withColumn("phi", clip("phi", -cap, cap))
-    res = x.select(*keys, "x", "p").join(got.select(*keys, "phi"), list(keys)).where("p is not null")
-    sd = res.groupBy(*keys).agg(F.greatest(F.stddev_pop(F.col("x") - F.col("phi") * F.col("p")), F.lit(1e-6)).alias("sd"))
-    return got.join(sd, list(keys))
+    """AR(1) about the mean: mu, phi, residual deviation, last value and time, step; one exchange by key."""
+    key, w = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("ts")
+    x = series.where("y is not null").withColumn("mu", F.avg("y").over(key)).withColumn("x", F.col("y") - F.col("mu"))
+    x = x.withColumns({"p": F.lag("x").over(w), "d": seconds_between(F.lag("ts").over(w), "ts")})
+    more = (F.count("*").alias("n"), F.max_by("y", "ts").alias("last_y"), F.max("ts").alias("last_ts"), F.percentile("d", 0.5).alias("step_s"), F.regr_slope(F.col("y"), seconds("ts")).alias("slope"))
+    # a single value has no residual
+    return lag_moments(x, list(keys), cap, *more).where("n > 1").select(*keys, "mu", "n", "phi", "last_y", "last_ts", "step_s", "slope", "sd")
 
 
 def forecast(params: DataFrame, horizon: int, trend: float = 0.0, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -21,9 +21,10 @@ E = "equip_id"
 def _fit(rows: DataFrame, keys: list[str], value: str, q: float, least: float) -> DataFrame:
     x = F.col(value)
     mid = rows.where(x.isNotNull()).groupBy(*keys).agg(F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("sd"), F.percentile(x, q).alias("q_raw"), F.count("*").alias("n"))
-    dev = rows.join(mid.select(*keys, "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(x - F.col("median")), 0.5).alias("mad"))
+    # what was found goes along, so nothing is joined again
+    both = rows.select(*keys, value).join(mid, keys).groupBy(*keys).agg(F.percentile(F.abs(x - F.col("median")), 0.5).alias("mad"), *[F.first(c).alias(c) for c in ("median", "sd", "q_raw", "n")])
     scale = F.when(F.col("mad") * 1.4826 >= least, F.col("mad") * 1.4826).when(F.col("sd") > least, F.col("sd")).otherwise(F.lit(1.0))
-    return mid.join(dev, keys).select(*keys, "median", scale.alias("scale"), "q_raw", "n").withColumn("q_z", (F.col("q_raw") - F.col("median")) / F.col("scale"))
+    return both.select(*keys, "median", scale.alias("scale"), "q_raw", "n").withColumn("q_z", (F.col("q_raw") - F.col("median")) / F.col("scale"))
 
 
 def calibrate(train: DataFrame, keys: tuple[str, ...] = (E, "detector"), value: str = "score", q: float = 0.98, fp_rate: float | None = None) -> DataFrame:
