@@ -150,7 +150,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = cut(leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct())
     if found.count() <= SMALL_IDS:
         found = F.broadcast(found)
-    return docs.join(found, key == F.col("_key"), "left_anti").select(*docs.columns)
+    return docs.join(found, key == found["_key"], "left_anti").select(*docs.columns)
 
 
 def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,7 +226,8 @@ def repeats(docs: DataFrame, run: int = RUN, kinds: Iterable[str] = ("line", "pa
 def remove(docs: DataFrame, run: int = RUN, kinds: Iterable[str] = ("line", "passage")) -> DataFrame:
     """All documents with repeated stretches cut out of ``text``, and ``kept``: (at, start, end) of each piece that stays.
 
-    A piece stands at ``at`` in the new text and at ``start`` to ``end`` in the source. The documents are written to the
+    A piece stands at ``at`` in the new text and at ``start`` to ``end`` in the source; a column of that name is
+    replaced. The documents are written to the
     shared folder once, as their rows are numbered.
     """
     names = docs.columns

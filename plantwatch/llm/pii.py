@@ -296,11 +296,13 @@ def redact_text(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with personal data replaced; n_chars is the new length, and a null text stays null."""
+    """Documents with personal data replaced; n_chars, where there is one, is the new length, and a null text stays null."""
     from pyspark.sql import functions as F
 
     names = docs.columns
     replaced = map_rows_with(docs)
+    if "n_chars" not in names:
+        return replaced
     return replaced.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*names)
 
 

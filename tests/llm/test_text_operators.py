@@ -40,6 +40,26 @@ def ids(df):
 ALL = sorted((r[0] for r in ROWS), key=lambda x: (x is None, x))
 
 
+def test_columns_of_the_same_names_as_inner_ones(spark):
+    from pyspark.sql import functions as F
+
+    names = ["said", "words", "hash", "k", "node", "high", "low", "score", "toxic", "row", "source", "spans", "fp", "at", "n", "first", "stretch", "held", "_key", "item_key", "value", "archive", "payload", "task", "members"]
+    rows = spark.createDataFrame([(i, prose(i // 2, 60)) for i in range(8)], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    bench = rows.where("doc_id = 2").select(F.lit(1).cast("long").alias("item_id"), "text", *names)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    found = [decontaminate.clean(rows, bench), simhash.keep_first(rows), pii.redact(rows), toxicity.clean(rows, labels), dedup_lines.remove(rows)]
+    assert [x.count() for x in found] == [6, 4, 8, 8, 8]
+    for x in found:
+        assert x.columns[: len(rows.columns)] == rows.columns and all(x.first()[n] == n for n in names)
+    for scan in (pii.scan_documents, quality.score_documents, secrets.scan_documents, simhash.clusters, lambda d: toxicity.score_documents(d, toxicity.Model()), packing.pack_documents):
+        assert {r.doc_id for r in scan(rows).collect()} == set(range(8))
+    pages = rows.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *names)
+    assert html_text.extract_pages(pages, html_text.fit(pages)).count() == 8
+    path = warc.work_path(spark, "t")
+    warc.write_archives(pages, path)
+    assert warc.merge_index(warc.capture_runs(spark, path)).where("verified").count() == 8
+
+
 def test_pii(docs, none):
     got = pii.scan_documents(docs)
     assert ids(got) == ALL and pii.scan_documents(none).count() == 0
