@@ -5,6 +5,13 @@ that hold benchmark passages go, personal data is replaced in what is left, and
 that is packed into token sequences. SQL can't express the stages (a trained
 classifier, SimHash components, transducers, a tokenizer), so the whole is held
 against brute force in tests/llm.
+
+Defined results: a null or empty text goes through every stage as a text without
+words (all such rows are near copies of each other, and one with a doc_id stays);
+a row without a doc_id is never dropped as a copy, and is judged by its text
+elsewhere; of rows that repeat a doc_id all stay or all go; an empty table gives
+an empty result; further columns are carried up to the last stage. A stage's
+folder is deleted as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -42,9 +49,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     ship(spark)
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = common.work_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            common.remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    # packing cuts its pieces in the shared folder, so the last folder has been read by then
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    if before is not None:
+        common.remove_path(spark, before)
+    return packed
