@@ -330,7 +330,9 @@ def _(s, d):
     return forecasting.exponential(_health(s, d), 12)
 
 
-@query("r12_quadratic")
+# by orthogonal parts: the mean, the slope, and what the square of time has beyond them
+@query("r12_quadratic", """SELECT equip_id, CAST(r.h AS INTEGER) AS h, my + sl * (u - mt) + cq * (u * u - mq - b * (u - mt)) AS forecast FROM (SELECT *, (n - 1 + h) / greatest(n - 1, 1) AS u FROM (SELECT equip_id, n, mt, my, mq, sl, b, sum((q - mq - b * (t - mt)) * y) / sum((q - mq - b * (t - mt)) ^ 2) AS cq
+  FROM (SELECT *, avg(t) OVER e AS mt, avg(y) OVER e AS my, avg(q) OVER e AS mq, regr_slope(y, t) OVER e AS sl, regr_slope(q, t) OVER e AS b FROM (SELECT *, t * t AS q FROM (SELECT equip_id, h AS y, count(*) OVER (PARTITION BY equip_id) AS n, (row_number() OVER (PARTITION BY equip_id ORDER BY ts) - 1) / greatest(count(*) OVER (PARTITION BY equip_id) - 1, 1) AS t FROM health)) WINDOW e AS (PARTITION BY equip_id)) GROUP BY 1, 2, 3, 4, 5, 6, 7) CROSS JOIN (SELECT unnest(range(1, 13)) AS h)) r""", "forecast")
 def _(s, d):
     return forecasting.quadratic(_health(s, d), 12)
 

@@ -90,7 +90,19 @@ def _(s, d):
     return cleaning.downcast(f.table(s, d, "events").select("event_id"))
 
 
-@query("w13_unique_lag_pairs")
+def _lagged(a: str, b: str, k: int) -> str:
+    """Pearson's r of a with b, k rows earlier, over the last eight rows, as the definition has it."""
+    pair = f"l{k}_{b}"
+    x, y = f"CASE WHEN {pair} IS NOT NULL THEN {a} END", pair
+    cov, sx, sy = f"covar_pop({x}, {y}) OVER w", f"stddev_pop({x}) OVER w", f"stddev_pop({y}) OVER w"
+    return f"CASE WHEN {sx} > 1e-12 AND {sy} > 1e-12 THEN greatest(-1.0, least(1.0, ({cov}) / (({sx}) * ({sy})))) END AS {a}_{b}_lag{k}"
+
+
+_PAIRS = [("click", "view"), ("click", "error"), ("view", "error")]
+_LAGS = ", ".join(f"lag({b}, {k}) OVER (PARTITION BY equip_id ORDER BY ts) AS l{k}_{b}" for b in ("view", "error") for k in (0, 1))
+
+
+@query("w13_unique_lag_pairs", f"SELECT equip_id, ts, {', '.join(_lagged(a, b, k) for a, b in _PAIRS for k in (0, 1))} FROM (SELECT *, {_LAGS} FROM (SELECT equip_id, ts, {', '.join(f'coalesce({t}, 0.0) AS {t}' for t in COLS)} FROM wide)) WINDOW w AS (PARTITION BY equip_id ORDER BY ts ROWS 7 PRECEDING)", " ".join(f"{a}_{b}_lag{k}" for a, b in _PAIRS for k in (0, 1)))
 def _(s, d):
     got = f.wide(s, d).fillna(0.0, COLS)
     pairs = rolling.lag_pairs(got, ["click", "view", "error"], 1, 8, unique=True)
