@@ -41,8 +41,8 @@ LEAST = 100
 #: Revisits that are few enough to be sent to every task, by count; more are joined by a shuffle.
 SMALL = 50_000
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
-#: Payload bytes after which an archive is closed.
-ARCHIVE = 32 << 20
+#: Bytes after which an archive is closed; one is read as one value, and each has a folder of its own, so neither tiny nor huge.
+ARCHIVE = 128 << 20
 #: Captures that are sampled for each range, to choose the splitters from.
 SAMPLED = 64
 #: Index rows that one merging task is meant to take.
