@@ -37,6 +37,8 @@ SEED = 42
 BUCKET = 20_000
 #: Dropped documents whose ids are few enough to be sent to every task; more are joined by a shuffle.
 SMALL_IDS = 200_000
+#: Keys of buckets (some 60 bytes each) that are few enough to be sent to every task.
+SMALL_KEYS = 500_000
 #: Distinct fingerprints that one task deals out to the tables.
 DEALT = 100_000
 _BLOCK = 1 << 15
@@ -116,7 +118,10 @@ def _connect(dealt: DataFrame, most: int | None, radius: int) -> tuple[DataFrame
     sized = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = sized.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     fits = F.col("n") <= most if most else F.lit(True)
-    several = dealt.join(sized.where((F.col("n") > 2) & fits).select("t", "key"), ["t", "key"], "left_semi")
+    # few buckets hold more than two: where their keys can be sent to every task, only their members are shuffled again
+    wanted = sized.where((F.col("n") > 2) & fits).select("t", "key")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL_KEYS else wanted
+    several = dealt.join(wanted, ["t", "key"], "left_semi")
 
     def forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
