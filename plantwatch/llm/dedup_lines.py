@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import cut, table, text_or_empty
+from plantwatch.llm.common import cut, table, text_or_empty, written
 
 #: A unit between content-defined cuts holds so many words at least, and so does a sentence.
 WORDS = 8
@@ -202,7 +202,7 @@ def unit_rows(docs: DataFrame, kinds: Iterable[str] = ("line", "passage")) -> Da
 
 def _repeated(docs: DataFrame, run: int, kinds: Iterable[str]) -> DataFrame:
     """Units of numbered documents that an earlier place holds too, numbered by ``stretch``; stretches hold ``run`` words or more."""
-    found = cut(unit_rows(docs, kinds))
+    found = written(unit_rows(docs, kinds), "units")
     first = cut(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "row")).alias("first")).where("n > 1"))
     later = found.join(first, ["high", "low"]).where(F.struct("doc_id", "start", "row") != F.col("first"))
     in_order = Window.partitionBy("row").orderBy("from", "to", "start", "end")
