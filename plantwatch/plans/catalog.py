@@ -21,7 +21,17 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({f.name: F.round(f.name, PLACES) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
+    """Doubles to six places as DuckDB's round() does it: the product with 10**6 to a whole number, halves away from zero.
+
+    Spark's round() takes the shortest decimal instead, and then 0.0654095 goes up, whose product lies below the half.
+    """
+
+    def one(name: str):
+        x = F.col(name).cast("double")
+        y = F.round(x * 10.0**PLACES) / 10.0**PLACES
+        return F.when(F.abs(y) < float("inf"), y).otherwise(x)
+
+    return df.withColumns({f.name: one(f.name) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
 def query(name: str, sql: str | None = None, d: str = "", base: bool = True):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,14 +130,20 @@ def model_valid(signature: str, sensors: list[str], want: str, have: list[str])
 
 
 def as_text(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Times as yyyy-MM-dd HH:mm:ss and doubles rounded to significant digits, as text files show them."""
+    """Times as yyyy-MM-dd HH:mm:ss and doubles rounded to significant digits, as text files show them.
+
+    The digits are those of C's %e, halves by the binary value; a product with a power of ten and Java's formats miss some.
+    """
+
+    @F.arrow_udf("double")
+    def shown(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else float(f"{x:.{digits - 1}e}") + 0.0 for x in v.to_pylist()], pa.float64())
+
     def one(f: T.StructField):
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             return F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            size = F.floor(F.log10(F.abs(F.col(f.name))))
-            unit = F.pow(F.lit(10.0), F.lit(float(digits - 1)) - size)
-            return F.when(F.col(f.name) == 0, 0.0).otherwise(F.round(F.col(f.name) * unit) / unit).alias(f.name)
+            return shown(f.name).alias(f.name)
         return F.col(f.name)
 
     return df.select(*[one(f) for f in df.schema])

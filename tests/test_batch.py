@@ -152,3 +152,14 @@ def test_files_for_people(spark, tmp_path):
     assert kept.get("t").count() == 3 and kept.get("u") is None
     kept.drop()
     assert kept.get("t") is None
+
+
+def test_text_has_the_digits_of_c(spark):
+    values = [0.0654095, 4598185.0, -4.717255, 1.084075e-12, -61651180000.0, 999999.5, 0.9999995, 100000.5, 1e-310, 5e-324, 1.7976931348623157e308, 1e23, 3.0, -0.0]
+    df = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)] + [(99, float("nan"), 1.0)], "i int, v double, u double")
+    got = {x.i: x for x in sinks.as_text(df).collect()}
+    assert [got[i].v for i in range(len(values))] == [float("%.5e" % v) for v in values]
+    assert got[99].v != got[99].v and got[99].u == 1.0 and all(got[i].u is None for i in range(len(values)))
+    assert sinks.as_text(df.where("i = 2").select("v"), digits=3).collect()[0].v == -4.72
+    far = spark.createDataFrame([(float("inf"), -float("inf"))], "a double, b double")
+    assert tuple(sinks.as_text(far).collect()[0]) == (float("inf"), -float("inf"))
